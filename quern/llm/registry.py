@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import neardup
+from quern.llm import bpe, decontaminate, neardup
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op5_near_dedup": neardup.op5_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.OP2_SQL,
+}

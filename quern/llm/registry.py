@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontaminate, neardup
+from quern.llm import bpe, decontaminate, langid, neardup, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op5_near_dedup": neardup.op5_near_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_language_id": langid.op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.OP2_SQL,

@@ -24,6 +24,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: All of ASCII but letters and digits: for features that punctuation should not change.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -51,11 +55,14 @@ def _weights(n: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a block of texts. Text i has words first[i] to first[i+1]."""
+    """The words of a block of texts. Text i has words first[i] to first[i+1].
+
+    gaps: which of the 256 byte values separate words.
+    """
 
     __slots__ = ("end", "first", "low", "start", "_solid")
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, gaps: np.ndarray = _SPACE):
         texts = pc.fill_null(texts, "") if texts.null_count else texts
         wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
         _, offsets, data = texts.buffers()
@@ -63,7 +70,7 @@ class Words:
         raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
         off = (off - off[0]).astype(np.int64)
         self.low = _LOWER[raw]
-        solid = ~_SPACE[raw]
+        solid = ~gaps[raw]
         begins, ends = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
         ends[:-1] &= ~solid[1:]
@@ -88,6 +95,18 @@ class Words:
             out[a : a + _CHUNK] = np.add.reduceat(packed, head) + size.astype(np.uint64)
         return mix(out)
 
+    def stems(self, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each size: which words are longer, and a number for their first bytes."""
+        out, at, acc = [], self.start, np.zeros(len(self.start), np.uint64)
+        length, index = self.end - self.start, np.arange(len(self.start))
+        for j in range(max(sizes)):
+            longer = length[index] > j + 1
+            index, at, acc = index[longer], at[longer], acc[longer]
+            acc = acc + (self.low[at + j].astype(np.uint64) + np.uint64(1)) * _WEIGHTS[j]
+            if j + 1 in sizes:
+                out.append((index, mix(acc + np.uint64((j + 1) << 32))))
+        return out
+
     def word(self, i: int) -> bytes:
         return self.low[self.start[i] : self.end[i]].tobytes()
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontaminate, langid, neardup, toxicity
+from quern.llm import bpe, decontaminate, htmltext, langid, media, neardup, toxicity, urlfilter
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_url_filter": urlfilter.op3_url_filter,
+    "op4_media_columns": media.op4_media_columns,
     "op5_near_dedup": neardup.op5_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_html_text": htmltext.op8_html_text,
     "op9_language_id": langid.op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -10,7 +10,10 @@ Method
   3. Signatures are cut into bands. Classes with an equal band meet in a
      bucket, first with the bucket's smallest class only. Buckets that the
      resulting components don't yet join are searched again: members outside
-     the bucket's main component meet all members of other components.
+     the bucket's main component meet a few of its members, and those that
+     are still apart then meet all members of other components. Pairs whose
+     sizes rule the threshold out are left, and pairs whose signatures agree
+     less than the threshold less five standard deviations.
   4. Every candidate pair is decided on full sets: 100 |A and B| >= 75 |A or B|.
   5. Links are merged by union-find within partitions and pointer-jumping
      between them; no link ever goes to the driver.
@@ -41,7 +44,11 @@ PERCENT = 75
 #: Candidates are sent to every executor only up to this many rows (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
-_SIGNATURE_SCHEMA = "doc_id long, n_shingles long, class long, bands array<long>"
+#: Bits of each signature value that pairs are compared by, and how far below the threshold they may agree.
+NIBBLE, DEVIATIONS = 4, 5.0
+PIVOTS = 4
+
+_SIGNATURE_SCHEMA = "doc_id long, n_shingles long, class long, bands array<long>, sig array<long>"
 
 
 def superminhash(elements: np.ndarray, m: int) -> np.ndarray:
@@ -75,6 +82,13 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((signature.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + draws(bands, 23)).view(np.int64)
 
 
+def nibbles(signature: np.ndarray) -> np.ndarray:
+    """Four mixed bits of each signature value, sixteen to a number."""
+    four = mix(signature) & np.uint64(15)
+    four = np.concatenate([four, np.zeros(-len(four) % 16, np.uint64)]).reshape(-1, 16)
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def class_key(elements: np.ndarray) -> int:
     """A 64-bit name of a sorted set."""
     return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -85,15 +99,17 @@ def _signatures(bands: int, rows: int, k: int):
         for whole in batches:
             for batch in blocks(whole, "text"):
                 sh, at = shingles(Words(batch.column("text")), k)
-                sizes, classes, keys = [], [], []
+                sizes, classes, keys, sigs = [], [], [], []
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     own = np.unique(sh[a:b])
                     sizes.append(len(own))
                     classes.append(class_key(own) if len(own) else None)
-                    keys.append(band_keys(superminhash(own, bands * rows), bands, rows) if len(own) else None)
+                    signature = superminhash(own, bands * rows) if len(own) else None
+                    keys.append(band_keys(signature, bands, rows) if len(own) else None)
+                    sigs.append(nibbles(signature) if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "class", "bands"],
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "class", "bands", "sig"],
                 )
 
     return run
@@ -175,33 +191,67 @@ def _verified(pairs: DataFrame, docs: DataFrame, leads: DataFrame, percent: int,
     return joined.where(both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _close(na: str, sa: str, nb: str, sb: str, percent: int, m: int):
+    """Whether sizes and packed signatures leave the threshold possible."""
+    sizes = (F.col(na) * 100 >= F.col(nb) * percent) & (F.col(nb) * 100 >= F.col(na) * percent)
+    ones = F.lit(0x1111111111111111)
+    differ = F.lit(0)
+    for i in range((m + 15) // 16):
+        x = F.col(sa)[i].bitwiseXOR(F.col(sb)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(ones))
+    agree = percent / 100 + (1 - percent / 100) / 2**NIBBLE
+    most = m * (1 - agree) + DEVIATIONS * (m * agree * (1 - agree)) ** 0.5
+    return sizes & (differ <= int(most))
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = settle(docs.mapInArrow(_signatures(bands, rows, k), _SIGNATURE_SCHEMA), "signed")
-    leads = settle(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("lead"), F.max("n_shingles").cast("int").alias("n")), "leads")
+    known = signed.where("class is not null")
+    leads = settle(known.groupBy("class").agg(F.min("doc_id").alias("lead")), "leads")
+    classes = settle(known.select("class", F.col("n_shingles").cast("int").alias("n"), "bands", "sig").dropDuplicates(["class"]), "classes")
+    verify = lambda pairs: _verified(settle(pairs, "pairs"), docs, leads, percent, k)
 
     # (bucket, class) of all classes, dealt once by bucket for both uses.
-    dealt = signed.where("class is not null").select("class", "bands").dropDuplicates(["class"]).select(F.explode("bands").alias("bucket"), "class").repartition("bucket")
+    dealt = classes.select(F.explode("bands").alias("bucket"), "class").repartition("bucket")
     shared = dealt.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub < top").select("bucket", "hub")
-    members = settle(dealt.join(shared, "bucket").join(leads.select("class", "n"), "class"), "members")
+    members = settle(dealt.join(shared, "bucket"), "members")
+
+    def paired(pairs: DataFrame) -> DataFrame:
+        """The distinct (a, b) of pairs (x, y) that sizes and signatures don't rule out."""
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        one, two = (classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
+        return pairs.join(one, "a").join(two, ["b"]).where(_close("na", "sa", "nb", "sb", percent, bands * rows)).select("a", "b")
+
+    star = settle(paired(members.where("class > hub").select(F.col("hub").alias("x"), F.col("class").alias("y"))), "star")
+    links = settle(verify(star), "links")
+    comps = components(links)
 
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    sized = leads.select(F.col("class").alias("hub"), F.col("n").alias("hub_n"))
-    star = members.where("class > hub").select("hub", "class", "n").distinct().join(sized, "hub").where(fits("n", "hub_n"))
-    star = settle(star.select(F.col("hub").alias("a"), F.col("class").alias("b")), "star")
-    links = settle(_verified(star, docs, leads, percent, k), "links")
+    def still_open(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The buckets with several components: all members, and those outside the main component."""
+        placed = members.select("bucket", "class").join(comps, "class", "left").select("bucket", "class", F.coalesce("comp", "class").alias("comp"))
+        open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+        placed = settle(placed.join(open_, "bucket"), "open")
+        counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
+        main = counts.groupBy("bucket").agg(F.max_by("comp", "size").alias("main"))
+        return placed, placed.join(main, "bucket")
+
+    placed, marked = still_open(members)
+    pivots = marked.where("comp = main").groupBy("bucket").agg(*(F.min_by("class", F.xxhash64("class", "bucket", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
+    apart = marked.where("comp <> main").join(pivots, "bucket")
+    tried = settle(paired(apart.select(F.col("class").alias("x"), F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("y"))).join(star, ["a", "b"], "left_anti"), "tried")
+    links = settle(links.union(verify(tried)), "links")
     comps = components(links)
 
-    placed = members.join(comps, "class", "left").select("bucket", "class", "n", F.coalesce("comp", "class").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    placed = settle(placed.join(open_, "bucket"), "open")
-    counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"))
-    apart = placed.join(main, "bucket").where("comp <> main").select("bucket", F.col("class").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    met = apart.join(placed, "bucket").where((F.col("xc") != F.col("comp")) & fits("xn", "n"))
-    pairs = met.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = settle(_verified(settle(pairs, "pairs"), docs, leads, percent, k), "more")
+    placed, marked = still_open(placed)
+    sized = lambda df: df.join(classes.select("class", "n", "sig"), "class")
+    apart = sized(marked.where("comp <> main").select("bucket", "class", "comp")).toDF("x", "bucket", "xc", "xn", "xs")
+    met = apart.join(sized(placed), "bucket").where((F.col("xc") != F.col("comp")) & _close("xn", "xs", "n", "sig", percent, bands * rows))
+    pairs = met.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
+    more = verify(pairs.join(star.union(tried), ["a", "b"], "left_anti"))
     comps = components(links.union(more))
 
     grouped = leads.join(comps, "class", "left").select("class", "lead", F.coalesce("comp", "class").alias("comp"))

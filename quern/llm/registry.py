@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontaminate, htmltext, langid, media, neardup, toxicity, urlfilter
+from quern.llm import bpe, decontaminate, htmltext, langid, media, neardup, secretscan, toxicity, urlfilter
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_html_text": htmltext.op8_html_text,
     "op9_language_id": langid.op9_language_id,
+    "op10_secret_scan": secretscan.op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.OP2_SQL,

@@ -224,7 +224,7 @@ class Encoder:
         return b"".join(map(self.v.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def _encoded(lines, pattern: str, block_chars: int, with_ids: bool):
+def _encoded(lines, pattern: str, block_chars: int, outputs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(lines.value, pattern))
 
@@ -237,8 +237,9 @@ def _encoded(lines, pattern: str, block_chars: int, with_ids: bool):
                 "ids_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
                 "decoded_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
             }
-            if with_ids:
+            if "ids" in outputs:
                 columns["ids"] = pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32()))
+            if "decoded" in outputs:
                 columns["decoded"] = pa.array(back, pa.binary())
             return pa.RecordBatch.from_pydict(columns)
 
@@ -257,8 +258,8 @@ def _encoded(lines, pattern: str, block_chars: int, with_ids: bool):
     return run
 
 
-def byte_bpe(docs: DataFrame, *, path: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if with_ids, ids array<int> and decoded binary.
+def byte_bpe(docs: DataFrame, *, path: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the outputs asked for: ids array<int>, decoded binary.
 
     path: a rank file; the public multilingual one unless given. It is read on
     the driver and sent to the executors (under a megabyte).
@@ -268,10 +269,10 @@ def byte_bpe(docs: DataFrame, *, path: str | None = None, pattern: str | None =
     spark = docs.sparkSession
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         lines = spark.sparkContext.broadcast(f.read())
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if with_ids else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {n} {t}" for n, t in (("ids", "array<int>"), ("decoded", "binary")) if n in outputs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encoded(lines, pattern or public_tokenizers.PATTERN, block_chars, with_ids), schema)
+    return rows.mapInArrow(_encoded(lines, pattern or public_tokenizers.PATTERN, block_chars, outputs), schema)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe(read_table(spark, sf_dir, "documents"), with_ids=False)
+    return byte_bpe(read_table(spark, sf_dir, "documents"), outputs=())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontaminate, htmltext, langid, media, neardup, secretscan, toxicity, urlfilter
+from quern.llm import bpe, decontaminate, htmltext, langid, media, neardup, ppm, secretscan, toxicity, urlfilter
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": urlfilter.op3_url_filter,
     "op4_media_columns": media.op4_media_columns,
     "op5_near_dedup": neardup.op5_near_dedup,
+    "op6_ppm_score": ppm.op6_ppm_score,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_html_text": htmltext.op8_html_text,
     "op9_language_id": langid.op9_language_id,

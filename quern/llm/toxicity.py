@@ -9,9 +9,9 @@ Method
   the L1 strength, so the fitted model is a short sorted list of features and
   weights, which is broadcast; scoring reads whole texts.
 
-Training takes at most `rows_per_label` labelled rows of either label, those
-with the smallest hash of their doc_id: a bounded sample. A document's
-features number at most 2^24, whatever its length.
+Training takes at most `rows[label]` labelled rows of each label, those with
+the smallest hash of their doc_id: a bounded sample. A document's features
+number at most 2^24, whatever its length.
 
 Defined results: empty and null texts get the score of the bias alone. A null
 label trains nothing; of repeated labels the largest counts. A null doc_id
@@ -32,7 +32,8 @@ from quern.llm.langid import fold
 from quern.llm.store import read_table
 from quern.llm.words import PUNCTUATION, Words, blocks, draws, mix
 
-ROWS_PER_LABEL = 4000
+#: Training rows by label.
+ROWS = {0: 3500, 1: 1500}
 BITS = 24
 EPOCHS = 6
 STEMS = (4, 5, 6)
@@ -79,7 +80,7 @@ class Model:
 
 def fit(rows: list[np.ndarray], labels: list[int], *, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = EPOCHS) -> Model:
     """FTRL-proximal over documents given as arrays of distinct features."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     bias, bias_n = -1e-9, 0.0
     for _ in range(epochs):
         for at, label in zip(rows, labels, strict=True):
@@ -92,8 +93,8 @@ def fit(rows: list[np.ndarray], labels: list[int], *, alpha: float = 1.0, beta:
             n[at] = after
             bias_n += g * g
             bias -= alpha * g / (beta + bias_n**0.5)
-    keys = np.flatnonzero(np.abs(z) > l1)
-    zk = z[keys]
+    keys = np.flatnonzero((z > l1) | (z < -l1))
+    zk = z[keys].astype(np.float64)
     weights = -(zk - np.sign(zk) * l1) / ((beta + np.sqrt(n[keys])) / alpha + l2)
     return Model(keys.astype(np.int32), weights, bias)
 
@@ -108,15 +109,18 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array(packed, pa.binary())], ["order", "toxic", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = ROWS_PER_LABEL, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, rows: dict[int, int] = ROWS, **options) -> Model:
     """Fit on the documents that labels (doc_id, toxic) marks; options are those of `fit`."""
     order = F.xxhash64(F.col("doc_id").cast("string"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ranked = known.withColumn("order", order).withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("order", "doc_id")))
-    chosen = [tuple(r) for r in ranked.where(F.col("rank") <= rows_per_label).select("doc_id", "toxic", "order").collect()]  # rows_per_label of either
+    most = F.lit(False)
+    for label, limit in rows.items():
+        most = most | ((F.col("toxic") == label) & (F.col("rank") <= limit))
+    chosen = [tuple(r) for r in ranked.where(most).select("doc_id", "toxic", "order").collect()]  # at most sum(rows.values())
     picked = docs.sparkSession.createDataFrame(chosen, "doc_id {}, toxic int, order long".format(labels.schema["doc_id"].dataType.simpleString()))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic", "order")
-    found = rows.mapInArrow(_feature_rows, "order long, toxic int, features binary").collect()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic", "order")
+    found = texts.mapInArrow(_feature_rows, "order long, toxic int, features binary").collect()
     found = sorted((r["order"], r["toxic"], r["features"]) for r in found)
     return fit([np.frombuffer(f, "<i4") for _, _, f in found], [t for _, t, _ in found], **options)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quern.llm.store import read_table
 from quern.llm.words import blocks
 
-ROWS_PER_LANG = 500
+ROWS_PER_LANG = 300
 LANDMARKS = 256
 RIDGE = 1e-2
 BITS = 14
@@ -75,13 +75,14 @@ class Model:
         self.weights = np.zeros((1 << BITS, len(self.langs)), np.float32)
         if not self.langs:
             return
-        x = bits / np.sqrt(np.maximum(1, bits.sum(axis=1, keepdims=True)))
+        x = bits
+        x /= np.sqrt(np.maximum(1, bits.sum(axis=1, keepdims=True)))
         pick = np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))
         marks = x[pick]
-        values, vectors = np.linalg.eigh(marks @ marks.T)
+        values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         good = values > 1e-6 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
-        mapped = (x @ marks.T) @ whiten
+        mapped = (x @ marks.T).astype(np.float64) @ whiten
         target = np.where(np.array(langs)[:, None] == np.array(self.langs), 1.0, -1.0)
         ridge_weights = np.linalg.solve(mapped.T @ mapped + ridge * len(x) * np.eye(mapped.shape[1]), mapped.T @ target)
         self.weights = (marks.T @ (whiten @ ridge_weights)).astype(np.float32)
@@ -123,7 +124,7 @@ def train(docs: DataFrame, *, rows_per_lang: int = ROWS_PER_LANG, landmarks: int
     picked = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], schema)
     texts = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("text", "lang", order.alias("order"))
     found = sorted((r["order"], r["lang"], r["bits"]) for r in texts.mapInArrow(_bits, "lang string, order long, bits binary").collect())
-    bits = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, _, b in found], np.float64).reshape(len(found), 1 << BITS)
+    bits = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, _, b in found], np.float32).reshape(len(found), 1 << BITS)
     return Model(bits, [lang for _, lang, _ in found], landmarks, ridge)
 
 

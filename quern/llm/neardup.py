@@ -43,6 +43,8 @@ BANDS, ROWS = 48, 5
 PERCENT = 75
 #: Candidates are sent to every executor only up to this many rows (16 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Trees of links are merged in one task up to this many rows (16 bytes each), beyond it by rounds over all tasks.
+SINGLE_TASK_ROWS = 40_000
 
 #: Bits of each signature value that pairs are compared by, and how far below the threshold they may agree.
 NIBBLE, DEVIATIONS = 4, 5.0
@@ -154,14 +156,17 @@ def _local_union_find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([p for p in out if p[0] != p[1]], columns=["a", "b"], dtype="int64")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(class, comp) for every class in links (a, b); comp is the smallest class reachable.
+def components(links: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+    """(class, comp) for the classes in links (a, b); comp is the smallest class reachable.
 
-    Union-find inside partitions first, then rounds of neighbour minimum plus
-    pointer jump over what is left. Labels only ever fall, so a round that
-    leaves their sum unchanged is the last.
+    Union-find inside partitions first. What is left goes to one task if it has
+    at most single_task_rows rows, else through rounds of neighbour minimum plus
+    pointer jump. Labels only ever fall, so a round that leaves their sum
+    unchanged is the last. A class without a row is its own component.
     """
     forest = settle(links.mapInPandas(_local_union_find, "a long, b long"), "forest")
+    if forest.count() <= single_task_rows:
+        return settle(forest.coalesce(1).mapInPandas(_local_union_find, "a long, b long").toDF("class", "comp"), "labels")
     both = settle(forest.union(forest.select("b", "a")).distinct(), "adjacent")
     labels = both.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("class"), F.least("a", "n").alias("comp"))
     before = None
@@ -251,8 +256,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
     apart = sized(marked.where("comp <> main").select("bucket", "class", "comp")).toDF("x", "bucket", "xc", "xn", "xs")
     met = apart.join(sized(placed), "bucket").where((F.col("xc") != F.col("comp")) & _close("xn", "xs", "n", "sig", percent, bands * rows))
     pairs = met.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
-    more = verify(pairs.join(star.union(tried), ["a", "b"], "left_anti"))
-    comps = components(links.union(more))
+    more = settle(verify(pairs.join(star.union(tried), ["a", "b"], "left_anti")), "more")
+    if not more.isEmpty():
+        comps = components(links.union(more))
 
     grouped = leads.join(comps, "class", "left").select("class", "lead", F.coalesce("comp", "class").alias("comp"))
     names = grouped.groupBy("comp").agg(F.min("lead").alias("component_id"))

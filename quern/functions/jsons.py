@@ -68,7 +68,8 @@ def json_array(*items: Column) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *each), F.lit("]"))
 
 
-_MISSING = object()
+class _MISSING:
+    """Stands for a value that isn't there; a class, so that it stays itself when functions are sent to executors."""
 
 
 def _parsed(text):

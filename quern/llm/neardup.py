@@ -48,7 +48,7 @@ SINGLE_TASK_ROWS = 40_000
 
 #: Bits of each signature value that pairs are compared by, and how far below the threshold they may agree.
 NIBBLE, DEVIATIONS = 4, 5.0
-PIVOTS = 4
+PIVOTS = 1
 
 _SIGNATURE_SCHEMA = "doc_id long, n_shingles long, class long, bands array<long>, sig array<long>"
 

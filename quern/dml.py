@@ -109,12 +109,14 @@ def upsert(
     hits = None
     fresh = numbered
     for key in keys:
-        pair = _keyed(table, key, old, fresh, "inner").select(F.struct("l.*").alias("o"), F.struct("r.*").alias("n"))
+        pair = _keyed(table, key, old, numbered if replace_all else fresh, "inner").select(F.struct("l.*").alias("o"), F.struct("r.*").alias("n"))
         hits = pair if hits is None else hits.union(pair)
         fresh = _keyed(table, key, fresh, old, "left_anti").select("l.*")
-    hits = hits.dropDuplicates(["n"]) if len(keys) > 1 else hits
+    if hits is None:  # a table without any key
+        return insert(store, table, rows, tables)
+    hits = hits.dropDuplicates(["n"]) if len(keys) > 1 and not replace_all else hits
     fresh = fresh.select(*(f"`{n}`" for n in names)).withColumn(HIT, F.lit(True))
-    if assign is None:
+    if assign is None and not replace_all:
         files = store.write(table, fresh)
         made = table.read(spark, files)
         check(spark, table, made, old.drop("file"), tables)
@@ -147,6 +149,8 @@ def upsert(
     inserted = fresh.count()
     updated = made.where(HIT).count() - inserted
     affected = inserted + (2 * (updated - untouched[1]) if mysql else updated)
+    if replace_all:
+        affected = inserted + updated + gone.count()
     return Change(replace(table, files=kept_files + files), made.where(HIT).drop(HIT), affected)
 
 

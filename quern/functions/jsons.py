@@ -88,6 +88,7 @@ def _steps(path: str) -> list[str | int]:
 
 
 def _walk(value, steps):
+    """The value that a path leads to, or _MISSING."""
     for step in steps:
         if isinstance(step, int):
             # a scalar counts as an array of itself only at [0]
@@ -180,3 +181,67 @@ def json_replace(doc: Column, path: str, value: Column) -> Column:
 
 def json_remove(doc: Column, path: str) -> Column:
     return _changer(_remove)(doc, F.lit(path), F.lit("null"))
+
+
+def sql_functions() -> dict:
+    """The functions that SQL text calls by name, as pandas functions over columns."""
+
+    def over(kind: T.DataType, f):
+        @F.pandas_udf(kind)
+        def one(a: pd.Series) -> pd.Series:
+            return pd.Series([f(x) for x in a], dtype=object)
+
+        @F.pandas_udf(kind)
+        def two(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([f(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+        @F.pandas_udf(kind)
+        def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+            return pd.Series([f(x, y, z) for x, y, z in zip(a, b, c, strict=True)], dtype=object)
+
+        return (one, two, three)[f.__code__.co_argcount - 1]
+
+    def get(doc, path):
+        found = _walk(_parsed(doc), _steps(path))
+        return None if found is _MISSING else _dumped(found)
+
+    def get_all(doc, paths):
+        parsed = _parsed(doc)
+        found = [x for p in paths if (x := _walk(parsed, _steps(p))) is not _MISSING]
+        return _dumped(found) if found else None
+
+    def has_key(doc, key):
+        parsed = _parsed(doc)
+        return None if parsed is _MISSING else key in parsed if isinstance(parsed, (dict, list)) else parsed == key
+
+    def held(doc, part):
+        doc, part = _parsed(doc), _parsed(part)
+        return None if doc is _MISSING or part is _MISSING else contains(doc, part)
+
+    def unquote(x):
+        value = _parsed(x) if isinstance(x, str) and x.startswith('"') else x
+        return x if value is _MISSING else value
+
+    def changer(change):
+        def run(doc, path, value):
+            parsed, steps = _parsed(doc), _steps(path)
+            if parsed is _MISSING:
+                return None
+            around = _walk(parsed, steps[:-1]) if steps else _MISSING
+            if around is not _MISSING:
+                change(around, steps[-1], None if value is None else json.loads(value).get("v"))
+            return _dumped(parsed)
+
+        return run
+
+    def make_object(names, values):
+        return _dumped({str(n): json.loads(v).get("v") for n, v in zip(names, values, strict=True)})
+
+    def make_array(values):
+        return _dumped([json.loads(v).get("v") for v in values])
+
+    text, truth = T.StringType(), T.BooleanType()
+    return {
+        "quern_json_get": over(text, get), "quern_json_get_all": over(text, get_all), "quern_json_has_key": over(truth, has_key), "quern_json_contains": over(truth, held), "quern_json_unquote": over(text, unquote),
+        "quern_json_set": over(text, changer(_set)), "quern_json_replace": over(text, changer(_replace)), "quern_json_remove": over(text, changer(_remove)), "quern_json_object": over(text, make_object), "quern_json_array": over(text, make_array),
+    }

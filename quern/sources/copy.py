@@ -72,6 +72,8 @@ class CopyOptions:
                 out["header"] = True
             elif t.word in ("ENCLOSED", "OPTIONALLY", "STARTING"):
                 raise SqlError("0A000", f"LOAD DATA option {t.word} is not supported")
+        if out.get("header"):
+            out |= {"format": "csv", "null": "\\N", "quote": ""}
         return CopyOptions(**out)
 
 
@@ -87,8 +89,12 @@ def read_copy(spark: SparkSession, paths: str | list[str], width: int, options:
     if csv:
         reader = reader.option("sep", options.delimiter or ",").option("quote", options.quote).option("escape", options.escape or options.quote).option("nullValue", options.null or "").option("emptyValue", "").option("multiLine", True)
         return reader.csv(paths)
-    reader = reader.option("sep", options.delimiter or "\t").option("quote", "").option("nullValue", "\\N" if options.null is None else options.null).option("emptyValue", "")
-    rows = reader.csv(paths)
-    end = F.col(names[0]) == "\\."
-    text = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
-    return rows.where(~F.coalesce(end, F.lit(False))).select(*(text(n).alias(n) for n in names))
+    if options.header:
+        raise SqlError("0A000", "a header needs the csv format or LOAD DATA")
+    null = "\\N" if options.null is None else options.null
+    lines = spark.read.text(paths).where(F.col("value") != "\\.")
+    fields = F.split("value", "\\Q" + (options.delimiter or "\t") + "\\E")
+    wrong = F.raise_error(F.concat(F.lit("22P04: value out of the domain of a row: "), "value")).cast("array<string>")
+    rows = lines.select(F.when(F.size(fields) == width, fields).otherwise(wrong).alias("f"))
+    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
+    return rows.select(*(F.when(F.col("f")[i] != null, text(F.col("f")[i])).alias(n) for i, n in enumerate(names)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ class LogicalType:
         none = F.lit(None).cast("string")
         state = F.when(x.isNotNull() & value.isNull(), self._unreadable(text))
         if self.name in _SIGNED and (self.unsigned or self.name == "mediumint" or self.name == "tinyint"):
-            low, high = self.range()
+            low, high = (F.lit(Decimal(x)) for x in self.range())
             wide = F.trim(text).try_cast("decimal(38,0)")
             state = F.coalesce(state, F.when((wide < low) | (wide > high), "22003"))
         elif self.name == "bit":

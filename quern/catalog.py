@@ -21,7 +21,8 @@ from quern.types import LogicalType
 
 #: Marks rows that a statement inserted or changed, in the files it wrote.
 HIT = "quern_hit"
-ROWID = "quern_rowid"
+#: The place of a new row among those of its statement.
+ORDER = "quern_order"
 
 
 @dataclass(frozen=True)
@@ -93,7 +94,7 @@ class Table:
     def read(self, spark: SparkSession, files: tuple[str, ...] | None = None, *extra: str) -> DataFrame:
         """Rows of the table, or of some of its files; extra: HIT, or `file`, the file of each row."""
         files = self.files if files is None else files
-        fields = [T.StructField(c.stored, c.type.spark) for c in self.columns] + [T.StructField(HIT, T.BooleanType())] * (HIT in extra)
+        fields = [T.StructField(c.stored, c.type.spark) for c in self.columns] + [T.StructField(HIT, T.BooleanType())] * (HIT in extra) + [T.StructField(ORDER, T.LongType())] * (ORDER in extra)
         if not files:
             out = spark.createDataFrame([], T.StructType(fields + [T.StructField("file", T.StringType())] * ("file" in extra)))
         else:
@@ -110,9 +111,9 @@ class Store:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def write(self, table: Table, rows: DataFrame) -> tuple[str, ...]:
-        """rows must have the table's columns by name, and may have HIT."""
+        """rows must have the table's columns by name, and may have HIT and ORDER."""
         path = f"{self.folder}/{table.schema}.{table.name}/{uuid.uuid4().hex}"
-        extra = [HIT] if HIT in rows.columns else []
+        extra = [x for x in (HIT, ORDER) if x in rows.columns]
         rows.select(*(F.col(f"`{c.name}`").cast(c.type.spark).alias(c.stored) for c in table.columns), *extra).write.parquet(path)
         return tuple(sorted(self.spark.read.parquet(path).inputFiles()))
 

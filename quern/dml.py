@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.catalog import HIT, Store, Table
+from quern.catalog import HIT, ORDER, Store, Table
 from quern.errors import SqlError
 
 
@@ -94,13 +94,12 @@ def upsert(
     """
     spark = store.spark
     # a number for each new row, in their order, so that first and last mean something
-    staged_files = store.write(table, rows)
-    staged = table.read(spark, staged_files)
-    numbered = staged.withColumn("quern_order", F.monotonically_increasing_id())
+    staged = store.write(table, rows.withColumn(ORDER, F.monotonically_increasing_id()))
+    numbered = table.read(spark, staged, ORDER)
     for key in keys:
         if assign is None or replace_all:
             pick = F.max_by if replace_all else F.min_by
-            kept = numbered.where(_all_set(key)).groupBy(*(f"`{c}`" for c in key)).agg(pick(F.struct(*(f"`{c}`" for c in numbered.columns)), "quern_order").alias("q")).select("q.*")
+            kept = numbered.where(_all_set(key)).groupBy(*(f"`{c}`" for c in key)).agg(pick(F.struct(*(f"`{c}`" for c in numbered.columns)), ORDER).alias("q")).select("q.*")
             numbered = kept.unionByName(numbered.where(~_all_set(key)))
         elif not numbered.where(_all_set(key)).groupBy(*(f"`{c}`" for c in key)).agg(F.count(F.lit(1)).alias("quern_n")).where("quern_n > 1").isEmpty():
             raise SqlError("21000", "the statement can't affect a row a second time")

@@ -8,7 +8,9 @@ Method
      Rounds stop as soon as every bin has a value from a round already done,
      since later rounds can only give larger ranks.
   3. Signatures are cut into bands. Classes with an equal band meet in a
-     bucket, first with the bucket's smallest class only. Buckets that the
+     bucket, first with the bucket's most central class only: the one whose
+     buckets hold most classes, such as the text that others are copies of.
+     Buckets that the
      resulting components don't yet join are searched again: members outside
      the bucket's main component meet a few of its members, and those that
      are still apart then meet all members of other components. Pairs whose
@@ -222,8 +224,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
 
     # (bucket, class) of all classes, dealt once by bucket for both uses.
     dealt = classes.select(F.explode("bands").alias("bucket"), "class").repartition("bucket")
-    shared = dealt.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub < top").select("bucket", "hub")
-    members = settle(dealt.join(shared, "bucket"), "members")
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = settle(dealt.join(shared, "bucket"), "met")
+    weights = met.groupBy("class").agg(F.sum("size").alias("weight"))
+    members = settle(met.select("bucket", "class").join(weights, "class"), "members")
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("weight", "class"))["class"].alias("hub"))
+    members = members.select("bucket", "class")
 
     def paired(pairs: DataFrame) -> DataFrame:
         """The distinct (a, b) of pairs (x, y) that sizes and signatures don't rule out."""
@@ -231,7 +237,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
         one, two = (classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
         return pairs.join(one, "a").join(two, ["b"]).where(_close("na", "sa", "nb", "sb", percent, bands * rows)).select("a", "b")
 
-    star = settle(paired(members.where("class > hub").select(F.col("hub").alias("x"), F.col("class").alias("y"))), "star")
+    star = settle(paired(members.join(hubs, "bucket").where("class <> hub").select(F.col("hub").alias("x"), F.col("class").alias("y"))), "star")
     links = settle(verify(star), "links")
     comps = components(links)
 

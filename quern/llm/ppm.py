@@ -22,7 +22,8 @@ Method
   counted as words: every task counts its own distinct words, sums are formed
   by word, and the trie is counted from the word table. Each distinct word is
   spelt once, and its log probability is joined back to the documents that
-  hold it.
+  hold it. The most frequent words, a bounded number, are scored in place, so
+  no word is so common that its rows crowd the join.
 
 The base score is the sum over tokens of log10((c+0.5)/(N+0.5*(V+1))).
 
@@ -53,6 +54,9 @@ END = 256
 CLOSE = 32
 _SLOTS = 1 << 16
 _BATCH = 20_000
+_COUNT_BYTES = 8 << 20
+#: So many of the most frequent words are broadcast with their counts, and don't take part in the join.
+FREQUENT = 50_000
 
 
 def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +89,7 @@ class Trie:
         for n in range(ORDER + 1):
             at = order == n
             sort = np.argsort(key[at])
-            k, c = key[at][sort], count[at][sort].astype(np.float64)
+            k, c = key[at][sort], count[at][sort].astype(np.float32)
             slot = k // SYMBOLS
             total = np.bincount(slot, c, _SLOTS)
             kinds = np.bincount(slot, minlength=_SLOTS).astype(np.float64)
@@ -156,24 +160,55 @@ class Trie:
         return float(self.log10(np.array([END]), slots)[0])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, word, n, learn): each row's distinct words and how often it has them."""
+def _vocabulary(words: Words) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Hashes and bytes of a block's distinct words, and which of them each word is."""
+    keys, one, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    size = words.end[one] - words.start[one]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    spelt = words.low[np.repeat(words.start[one] - offsets[:-1], size) + np.arange(offsets[-1])]
+    names = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(spelt.tobytes())])
+    return keys, names, which.reshape(-1)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, c): each block's distinct words and how often its training texts have them."""
     for whole in batches:
-        for batch in blocks(whole, "text"):
+        for batch in blocks(whole, "text", _COUNT_BYTES):
             words = Words(batch.column("text"))
-            _, one, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            if not len(one):
-                continue
-            size = words.end[one] - words.start[one]
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            spelt = words.low[np.repeat(words.start[one] - offsets[:-1], size) + np.arange(offsets[-1])]
-            names = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(spelt.tobytes())])
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
-            pairs, n = np.unique(owner * len(one) + which.reshape(-1), return_counts=True)
-            rows = pa.array(pairs // len(one))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(rows), batch.column("learn").take(rows), names.take(pa.array(pairs % len(one))), pa.array(n, pa.int64())], ["row", "learn", "word", "n"]
-            )
+            _, names, which = _vocabulary(words)
+            learn = np.repeat(np.asarray(batch.column("learn")), np.diff(words.first))
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(which, learn, len(names)).astype(np.int64))], ["word", "c"])
+
+
+def _frequent(shared):
+    """For each text one row of sums over its frequent words, and a row (word, n) for each other word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, base, score = shared.value
+        for whole in batches:
+            for batch in blocks(whole, "text"):
+                rows, words = np.asarray(batch.column("row")), Words(batch.column("text"))
+                own, names, which = _vocabulary(words)
+                owner = np.repeat(np.arange(len(rows)), np.diff(words.first))
+                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                often = (keys[at] == own) if len(keys) else np.zeros(len(own), bool)
+                known = often[which]
+                mine, place = owner[known], at[which[known]]
+                n = len(rows)
+                sums = [np.bincount(mine, minlength=n).astype(np.int64), np.bincount(mine, base[place], n), np.bincount(mine, score[place], n)]
+                pairs, count = np.unique(owner[~known] * max(1, len(own)) + which[~known], return_counts=True)
+                rest = pairs // max(1, len(own))
+                mark = pa.array([b" " + r.tobytes() for r in rows], pa.binary())  # no word holds a space, so none is met
+                zeros = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.array(np.zeros(len(pairs)), kind)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([rows, rows[rest]])), pa.concat_arrays([mark, names.take(pa.array(pairs % max(1, len(own))))]),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), count])), zeros(sums[0], pa.int64()), zeros(sums[1], pa.float64()), zeros(sums[2], pa.float64()),
+                    ],
+                    ["row", "word", "n", "k", "b", "s"],
+                )
+
+    return run
 
 
 def _trie_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +222,7 @@ def _trie_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key, count = np.unique(slots[n] * SYMBOLS + symbol, return_counts=True)
                 held.append(np.stack([np.full(len(key), n), key, count]))
             held = [_summed(held)]
-    order, key, count = held[0] if len(held) == 1 else _summed(held)
+    order, key, count = _summed(held)
     yield pd.DataFrame({"ord": order.astype(np.int32), "key": key, "n": count})
 
 
@@ -197,6 +232,14 @@ def _summed(parts: list[np.ndarray]) -> np.ndarray:
     return np.stack([code >> 40, code & ((1 << 40) - 1), np.bincount(which.reshape(-1), n, len(code)).astype(np.int64)])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ord, key, n) as two byte strings for each batch."""
+    for batch in batches:
+        code = np.asarray(batch.column("ord")).astype(np.uint32) << np.uint32(25) | np.asarray(batch.column("key")).astype(np.uint32)
+        count = np.minimum(np.asarray(batch.column("n")), 2**32 - 1).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([code.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], ["code", "count"])
+
+
 def _spelt(trie):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -205,34 +248,47 @@ def _spelt(trie):
     return run
 
 
-def ppm_scores(docs: DataFrame) -> DataFrame:
+def ppm_scores(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; docs must have held_out."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.xxhash64("doc_id", "text").alias("row"))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), (~F.col("held_out")).alias("learn"), F.col("text").cast("string").alias("text"))
-    tokens = settle(rows.mapInArrow(_tokens, "row long, learn boolean, word binary, n long"), "tokens")
-    learnt = F.sum(F.when(F.col("learn"), F.col("n")).otherwise(0)).alias("c")
-    table = settle(tokens.groupBy("word").agg(learnt), "words")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), (~F.col("held_out")).alias("learn"), F.col("text").cast("string").alias("text"))
+    table = settle(texts.select("learn", "text").mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = ids.where(~F.col("held_out")).count()
     sums = table.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
     total, distinct, escape = (sums[0] or 0) + ends, sums[1] + (ends > 0), sums[2] + 1
 
-    counted = table.where("c > 0").mapInPandas(_trie_counts, "ord int, key long, n long").groupBy("ord", "key").agg(F.sum("n").alias("n")).toPandas()  # bounded: see above
-    root = [(n, int(contexts([b""])[1][n][0]) * SYMBOLS + END, 1) for n in range(ORDER + 1)] if ends else []
-    counted = pd.concat([counted, pd.DataFrame(root, columns=["ord", "key", "n"])])
-    trie = Trie(counted["ord"].to_numpy(np.int64), counted["key"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
-    spelt = settle(table.mapInPandas(_spelt(spark.sparkContext.broadcast(trie)), "word binary, c long, spelt double"), "spelt")
+    # the trie: bounded, see above
+    counted = table.where("c > 0").mapInPandas(_trie_counts, "ord int, key long, n long").groupBy("ord", "key").agg(F.sum("n").alias("n"))
+    packed = counted.mapInArrow(_packed, "code binary, count binary").collect()
+    code, count = (np.concatenate([np.frombuffer(r[i], np.uint32) for r in packed] or [np.zeros(0, np.uint32)]) for i in range(2))
+    del packed
+    if ends:
+        _, slots, _ = contexts([b""])
+        code = np.append(code, np.array([n << 25 | int(slots[n][0]) * SYMBOLS + END for n in range(ORDER + 1)], np.uint32))
+        count = np.append(count, np.ones(ORDER + 1, np.uint32))
+    trie = Trie(code >> np.uint32(25), (code & np.uint32((1 << 25) - 1)).astype(np.int32), count)
+    spelt = settle(table.mapInPandas(_spelt(sc.broadcast(trie)), "word binary, c long, spelt double"), "spelt")
+
     seen = spelt.where("c > 0").agg(F.sum(F.pow(F.lit(10.0), "spelt"))).first()[0] or 0.0
     seen = min(seen + (10 ** trie.end() if ends else 0.0), 1 - 1e-9)
     novel = math.log10(escape / (total + escape)) - math.log10(1 - seen)
-    token = F.when(F.col("c") > 0, F.log10(F.col("c") / F.lit(float(total + escape)))).otherwise(F.col("spelt") + F.lit(novel))
     end = math.log10(ends / (total + escape)) if ends else novel + trie.end()
-
     floor = total + 0.5 * (distinct + 1)
-    base = lambda c: F.log10((c + 0.5) / F.lit(floor))
-    one = tokens.join(spelt, "word")
-    sums = one.groupBy("row").agg(
-        F.sum("n").alias("w"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * base(F.col("c"))).alias("b"), F.sum(F.col("n") * token).alias("s")
+
+    # the `frequent` most frequent words are scored where they stand; all others by a join
+    often = table.where("c > 0").orderBy(F.desc("c"), "word").limit(frequent).collect()
+    keys = Words(pa.array([bytes(r["word"]) for r in often], pa.binary())).hashes()
+    order, c = np.argsort(keys), np.array([r["c"] for r in often], np.float64)
+    shared = sc.broadcast((keys[order], np.log10((c[order] + 0.5) / floor), np.log10(c[order] / (total + escape))))
+    parts = texts.select("row", "text").mapInArrow(_frequent(shared), "row long, word binary, n long, k long, b double, s double")
+    joined = parts.join(spelt, "word", "left")
+    known = F.coalesce(F.col("c"), F.lit(0)) > 0
+    base = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.5) / F.lit(floor))
+    token = F.when(known, F.log10(F.col("c") / F.lit(float(total + escape)))).otherwise(F.col("spelt") + F.lit(novel))
+    rare = lambda x: F.when(F.col("n") > 0, F.col("n") * x).otherwise(F.lit(0.0))
+    sums = joined.groupBy("row").agg(
+        F.sum(F.col("n") + F.col("k")).alias("w"), F.sum(F.col("k") + F.when(known, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("b") + rare(base)).alias("b"), F.sum(F.col("s") + F.coalesce(rare(token), F.lit(0.0))).alias("s")
     )
     copies = ids.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     sums = sums.join(copies, "row")

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.langid import fold
@@ -113,11 +113,10 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: dict[int, int] = ROWS, **
     """Fit on the documents that labels (doc_id, toxic) marks; options are those of `fit`."""
     order = F.xxhash64(F.col("doc_id").cast("string"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    ranked = known.withColumn("order", order).withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("order", "doc_id")))
-    most = F.lit(False)
+    chosen = []
     for label, limit in rows.items():
-        most = most | ((F.col("toxic") == label) & (F.col("rank") <= limit))
-    chosen = [tuple(r) for r in ranked.where(most).select("doc_id", "toxic", "order").collect()]  # at most sum(rows.values())
+        best = known.where(F.col("toxic") == label).withColumn("order", order).orderBy("order", "doc_id").limit(limit)
+        chosen += [tuple(r) for r in best.select("doc_id", "toxic", "order").collect()]  # at most limit
     picked = docs.sparkSession.createDataFrame(chosen, "doc_id {}, toxic int, order long".format(labels.schema["doc_id"].dataType.simpleString()))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic", "order")
     found = texts.mapInArrow(_feature_rows, "order long, toxic int, features binary").collect()

@@ -53,8 +53,8 @@ SYMBOLS = 257
 END = 256
 CLOSE = 32
 _SLOTS = 1 << 16
-_BATCH = 20_000
-_COUNT_BYTES = 8 << 20
+_BATCH = 8_000
+_COUNT_BYTES = 4 << 20
 #: So many of the most frequent words are broadcast with their counts, and don't take part in the join.
 FREQUENT = 50_000
 
@@ -139,7 +139,7 @@ class Trie:
     def _rows(self, n: int, slot: np.ndarray) -> np.ndarray:
         """Dense counts of all symbols in these contexts."""
         k, c, _, _, rows = self.tables[n]
-        out = np.zeros((len(slot), SYMBOLS))
+        out = np.zeros((len(slot), SYMBOLS), np.float32)
         size = rows[slot + 1] - rows[slot]
         at = np.repeat(rows[slot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         out[np.repeat(np.arange(len(slot)), size), k[at] % SYMBOLS] = c[at]

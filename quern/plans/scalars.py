@@ -160,7 +160,7 @@ def fn_bitops(spark, d):
     return table(spark, d, "orders").select("o_orderkey", k.bitwiseAND(12).alias("a"), k.bitwiseOR(3).alias("b"), k.bitwiseXOR(255).alias("c"), F.bitwise_not(k).alias("n"))
 
 
-@_family.add("SELECT p_partkey, coalesce(TRY_CAST(regexp_extract(concat(p_size, 'abc'), '^[0-9]+') AS DOUBLE), 0.0) AS n, 0.0 AS z FROM part")
+@_family.add("SELECT p_partkey, coalesce(TRY_CAST(regexp_extract(concat(p_size, 'abc'), '^[0-9]+') AS DOUBLE), CAST(0 AS DOUBLE)) AS n, CAST(0 AS DOUBLE) AS z FROM part")
 def fn_text_to_number(spark, d):
     return table(spark, d, "part").select("p_partkey", Q.text_to_number(F.concat(_c("p_size").cast("string"), F.lit("abc"))).alias("n"), Q.text_to_number(_c("p_name")).alias("z"))
 

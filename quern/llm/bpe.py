@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from quern.llm.store import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_CHARS = 48_000_000
+BLOCK_CHARS = 8_000_000
 #: Encoded words that a task keeps between blocks.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 _WINDOW = 256
 _GLUED = re.compile(r"\s \s|\s \Z")
 

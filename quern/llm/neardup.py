@@ -8,14 +8,13 @@ Method
      Rounds stop as soon as every bin has a value from a round already done,
      since later rounds can only give larger ranks.
   3. Signatures are cut into bands. Classes with an equal band meet in a
-     bucket, first with the bucket's most central class only: the one whose
-     buckets hold most classes, such as the text that others are copies of.
-     Buckets that the
+     bucket, first with the bucket's smallest class only. Buckets that the
      resulting components don't yet join are searched again: members outside
-     the bucket's main component meet a few of its members, and those that
-     are still apart then meet all members of other components. Pairs whose
-     sizes rule the threshold out are left, and pairs whose signatures agree
-     less than the threshold less five standard deviations.
+     the bucket's main component meet one of its members in each of three
+     turns, and those that are still apart then meet all members of other
+     components. Pairs whose sizes rule the threshold out are left, and pairs
+     whose signatures agree less than the threshold less five standard
+     deviations.
   4. Every candidate pair is decided on full sets: 100 |A and B| >= 75 |A or B|.
   5. Links are merged by union-find within partitions and pointer-jumping
      between them; no link ever goes to the driver.
@@ -50,7 +49,8 @@ SINGLE_TASK_ROWS = 40_000
 
 #: Bits of each signature value that pairs are compared by, and how far below the threshold they may agree.
 NIBBLE, DEVIATIONS = 4, 5.0
-PIVOTS = 1
+#: Turns in which classes outside a bucket's main component meet one of its members.
+TURNS = 3
 
 _SIGNATURE_SCHEMA = "doc_id long, n_shingles long, class long, bands array<long>, sig array<long>"
 
@@ -224,12 +224,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
 
     # (bucket, class) of all classes, dealt once by bucket for both uses.
     dealt = classes.select(F.explode("bands").alias("bucket"), "class").repartition("bucket")
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = settle(dealt.join(shared, "bucket"), "met")
-    weights = met.groupBy("class").agg(F.sum("size").alias("weight"))
-    members = settle(met.select("bucket", "class").join(weights, "class"), "members")
-    hubs = members.groupBy("bucket").agg(F.max(F.struct("weight", "class"))["class"].alias("hub"))
-    members = members.select("bucket", "class")
+    shared = dealt.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub < top").select("bucket", "hub")
+    members = settle(dealt.join(shared, "bucket"), "members")
 
     def paired(pairs: DataFrame) -> DataFrame:
         """The distinct (a, b) of pairs (x, y) that sizes and signatures don't rule out."""
@@ -237,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
         one, two = (classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
         return pairs.join(one, "a").join(two, ["b"]).where(_close("na", "sa", "nb", "sb", percent, bands * rows)).select("a", "b")
 
-    star = settle(paired(members.join(hubs, "bucket").where("class <> hub").select(F.col("hub").alias("x"), F.col("class").alias("y"))), "star")
+    star = settle(paired(members.where("class > hub").select(F.col("hub").alias("x"), F.col("class").alias("y"))), "star")
     links = settle(verify(star), "links")
     comps = components(links)
 
@@ -250,19 +246,24 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
         main = counts.groupBy("bucket").agg(F.max_by("comp", "size").alias("main"))
         return placed, placed.join(main, "bucket")
 
-    placed, marked = still_open(members)
-    pivots = marked.where("comp = main").groupBy("bucket").agg(*(F.min_by("class", F.xxhash64("class", "bucket", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
-    apart = marked.where("comp <> main").join(pivots, "bucket")
-    tried = settle(paired(apart.select(F.col("class").alias("x"), F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("y"))).join(star, ["a", "b"], "left_anti"), "tried")
-    links = settle(links.union(verify(tried)), "links")
-    comps = components(links)
+    placed, tested = members, star
+    for turn in range(TURNS):
+        placed, marked = still_open(placed)
+        pivots = marked.where("comp = main").groupBy("bucket").agg(F.min_by("class", F.xxhash64("class", "bucket", F.lit(turn))).alias("pivot"))
+        apart = marked.where("comp <> main").join(pivots, "bucket")
+        tried = settle(paired(apart.select(F.col("class").alias("x"), F.col("pivot").alias("y"))).join(tested, ["a", "b"], "left_anti"), "tried")
+        new = settle(verify(tried), "new")
+        tested, links = tested.union(tried), links.union(new)
+        if new.isEmpty():
+            break
+        comps = components(links)
 
     placed, marked = still_open(placed)
     sized = lambda df: df.join(classes.select("class", "n", "sig"), "class")
     apart = sized(marked.where("comp <> main").select("bucket", "class", "comp")).toDF("x", "bucket", "xc", "xn", "xs")
     met = apart.join(sized(placed), "bucket").where((F.col("xc") != F.col("comp")) & _close("xn", "xs", "n", "sig", percent, bands * rows))
     pairs = met.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
-    more = settle(verify(pairs.join(star.union(tried), ["a", "b"], "left_anti")), "more")
+    more = settle(verify(pairs.join(tested, ["a", "b"], "left_anti")), "more")
     if not more.isEmpty():
         comps = components(links.union(more))
 

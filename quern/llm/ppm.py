@@ -1,30 +1,25 @@
 """Language-model scores by prediction by partial matching over byte contexts.
 
 Method
-  Texts are read as tokens: words (runs of bytes other than white space, A-Z
-  lower-cased) and one end for each text. The longest context is that of the
-  token itself: a token seen c times among N has probability c / (N + E), where the
-  escape weight E is one more than the number of words seen once (escape
-  method X). After the escape a word is spelt: its bytes and a closing space,
-  each predicted from up to `ORDER` bytes before it in the word, the word's own
-  beginning included. The context trie holds which symbols followed each
-  context, and in how many different words: shorter contexts count only what the
-  longest did not foresee (update exclusion). At each order a symbol counted c
-  of n, among t different ones, has probability c / (n + t) and the escape to
+  A text is the run of its UTF-8 bytes, white space included, and one end. Every
+  byte and the end is predicted from the `ORDER` symbols before it, across
+  words; before a text stand ends. At each order, the longest first, a symbol counted c of n in its
+  context, among t different ones, has probability c / (n + t), and the escape to
   the next shorter context t / (n + t). Symbols already offered by longer
-  contexts are excluded from the shorter ones, and so are the words seen in
-  training from spelling as a whole. Below order 0 all of 257 symbols left are
-  equally likely. Contexts of three and more bytes are told apart by a 16-bit
-  hash, which is part of the model and keeps every probability proper.
-
-  So the trie has at most 2^16 contexts of 257 symbols at each order: a
-  proven bound for what is broadcast, however large the corpus. The corpus is
-  counted as words: every task counts its own distinct words, sums are formed
-  by word, and the trie is counted from the word table. Each distinct word is
-  spelt once, and its log probability is joined back to the documents that
-  hold it. The most frequent words, a bounded number, are scored in place, so
-  no word is so common that its rows crowd the join.
-
+  contexts are excluded from the shorter ones. Below order 0 all symbols left are
+  equally likely. The score is the sum of log10 over the whole text.
+
+  A probability depends on a gram alone: a symbol and the `ORDER` before it, a
+  number to base 257. So all texts are counted as rows (gram, count), unhashed,
+  as many as the corpus has; the shorter contexts are sums of them. What a
+  symbol costs after an escape from its context follows from the sums of that context (n, t,
+  and n of its symbols in the next shorter one), so the orders are joined from
+  0 upwards, each row with one shorter row, at most 257 rows a key. Texts then meet
+  the grams' log probabilities: the most frequent grams, a bounded number, are
+  broadcast, all others joined, so none is so common that its rows crowd the join.
+
+Tokens, known ones and the base score are of words: runs of bytes other than white space, A-Z
+lower-cased, and one end for each text, counted and joined in the same way.
 The base score is the sum over tokens of log10((c+0.5)/(N+0.5*(V+1))).
 
 Defined results: a null or wordless text is its end alone: one token. A null
@@ -39,9 +34,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.langid import fold
@@ -51,113 +46,70 @@ from quern.llm.words import Words, blocks
 ORDER = 5
 SYMBOLS = 257
 END = 256
-CLOSE = 32
-_SLOTS = 1 << 16
-_BATCH = 8_000
 _COUNT_BYTES = 4 << 20
 #: So many of the most frequent words are broadcast with their counts, and don't take part in the join.
 FREQUENT = 50_000
+#: At most so many of the most frequent grams are broadcast with their log probabilities.
+FREQUENT_GRAMS = 1 << 19
+_HELD = 1 << 22
+_TABLE_BITS = 21
+
+
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of every symbol of these texts, and where each text's begin."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, data = texts.buffers()
+    off = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    first = off - off[0] + np.arange(len(off))
+    symbol = np.full(first[-1], END, np.int64)
+    inside = np.ones(len(symbol), bool)
+    inside[first[1:] - 1] = False
+    symbol[inside] = raw
+    code, back = symbol.copy(), symbol
+    head = first[:-1]
+    for n in range(1, ORDER + 1):
+        back = np.concatenate([[END], back[:-1]])[: len(symbol)]  # the n-th symbol back
+        back[head] = END
+        code += back * SYMBOLS**n
+    return code, first
 
 
 def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols to be predicted for these words, a row of context slots for each, and whose word each is."""
-    size = np.array([len(w) + 1 for w in words], np.int64)
-    head = np.cumsum(size) - size
-    text = np.frombuffer(b"".join(w + b" " for w in words), np.uint8).astype(np.uint64)
-    place = np.arange(len(text)) - np.repeat(head, size)
-    slots = np.zeros((ORDER + 1, len(text)), np.int64)
-    code = np.zeros(len(text), np.uint64)
-    for n in range(1, ORDER + 1):
-        # the n-th byte back; before the word stands a byte that no word holds
-        back = np.full(len(text), CLOSE, np.uint64)
-        inside = place >= n
-        back[inside] = text[np.flatnonzero(inside) - n]
-        code = code * np.uint64(257) + back + np.uint64(1)
-        if n <= 2:
-            back_code = code - np.uint64(1) if n == 1 else (code - np.uint64(258))
-            slots[n] = (back_code % np.uint64(257) + (back_code // np.uint64(257)) * np.uint64(256)).astype(np.int64) if n == 2 else back_code.astype(np.int64)
-        else:
-            slots[n] = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-    return text.astype(np.int64), slots, np.repeat(np.arange(len(words)), size)
+    """Symbols to be predicted for these texts, the contexts of each by order, and whose text each is."""
+    code, first = grams(pa.array(words, pa.binary()))
+    slots = np.stack([code % SYMBOLS ** (n + 1) // SYMBOLS for n in range(ORDER + 1)])
+    return code % SYMBOLS, slots, np.repeat(np.arange(len(words)), np.diff(first))
 
 
 class Trie:
-    """Counts of symbols by context, one sparse table for each order."""
+    """The model of a small corpus in memory, read symbol by symbol: what `gram_scores` must agree with."""
 
     def __init__(self, order: np.ndarray, key: np.ndarray, count: np.ndarray):
-        self.tables = []
-        for n in range(ORDER + 1):
-            at = order == n
-            sort = np.argsort(key[at])
-            k, c = key[at][sort], count[at][sort].astype(np.float32)
-            slot = k // SYMBOLS
-            total = np.bincount(slot, c, _SLOTS)
-            kinds = np.bincount(slot, minlength=_SLOTS).astype(np.float64)
-            self.tables.append((k, c, total, kinds, np.searchsorted(slot, np.arange(_SLOTS + 1))))
+        self.tables: list[dict[int, dict[int, int]]] = [{} for _ in range(ORDER + 1)]
+        for n, k, c in zip(order.tolist(), key.tolist(), count.tolist(), strict=True):
+            self.tables[n].setdefault(k // SYMBOLS, {})[k % SYMBOLS] = c
 
     def log10(self, symbol: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """The log10 probability of each symbol; column i of slots holds its contexts."""
-        out = np.zeros(len(symbol))
-        left = np.arange(len(symbol))
-        gone: np.ndarray | None = None  # symbols excluded, a row for each of left; none as long as nothing was offered
+        return np.array([self._one(s, slots[:, i].tolist()) for i, s in enumerate(symbol.tolist())])
+
+    def _one(self, symbol: int, slots: list[int]) -> float:
+        gone: set[int] = set()
+        out = 0.0
         for n in range(ORDER, -1, -1):
-            k, c, total, kinds, rows = self.tables[n]
-            slot = slots[n][left]
-            want = slot * SYMBOLS + symbol[left]
-            at = np.minimum(np.searchsorted(k, want), max(0, len(k) - 1))
-            count = np.where(k[at] == want, c[at], 0.0) if len(k) else np.zeros(len(left))
-            if gone is None:
-                all_, different = total[slot], kinds[slot]
-                known = different > 0
-                hit = count > 0
-                out[left[hit]] += np.log10(count[hit] / (all_[hit] + different[hit]))
-                miss = known & ~hit
-                out[left[miss]] += np.log10(different[miss] / (all_[miss] + different[miss]))
-                keep = ~hit
-                left, slot, known = left[keep], slot[keep], known[keep]
-                gone = np.zeros((len(left), SYMBOLS), bool)
-                offered = gone
-            else:
-                row = self._rows(n, slot)
-                row[gone] = 0.0
-                all_, different = row.sum(axis=1), (row > 0).sum(axis=1)
-                count = row[np.arange(len(left)), symbol[left]]
-                hit = count > 0
-                out[left[hit]] += np.log10(count[hit] / (all_[hit] + different[hit]))
-                miss = (different > 0) & ~hit
-                out[left[miss]] += np.log10(different[miss] / (all_[miss] + different[miss]))
-                keep = ~hit
-                left, slot = left[keep], slot[keep]
-                gone = gone[keep] | (row[keep] > 0)
-                continue
-            if len(left):
-                offered |= self._rows(n, slot) > 0
-        if len(left):
-            out[left] -= np.log10(SYMBOLS - gone.sum(axis=1))
-        return out
-
-    def _rows(self, n: int, slot: np.ndarray) -> np.ndarray:
-        """Dense counts of all symbols in these contexts."""
-        k, c, _, _, rows = self.tables[n]
-        out = np.zeros((len(slot), SYMBOLS), np.float32)
-        size = rows[slot + 1] - rows[slot]
-        at = np.repeat(rows[slot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        out[np.repeat(np.arange(len(slot)), size), k[at] % SYMBOLS] = c[at]
-        return out
+            left = {s: c for s, c in self.tables[n].get(slots[n], {}).items() if s not in gone}
+            if symbol in left:
+                return out + math.log10(left[symbol] / (sum(left.values()) + len(left)))
+            if left:
+                out += math.log10(len(left) / (sum(left.values()) + len(left)))
+                gone |= left.keys()
+        return out - math.log10(SYMBOLS - len(gone))
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        """The log10 probability of each word with its closing space."""
-        out = np.zeros(len(words))
-        for a in range(0, len(words), _BATCH):
-            part = words[a : a + _BATCH]
-            symbol, slots, owner = contexts(part)
-            out[a : a + len(part)] = np.bincount(owner, self.log10(symbol, slots), len(part))
-        return out
-
-    def end(self) -> float:
-        """The log10 probability of the end of a text, where a word would begin."""
-        _, slots, _ = contexts([b""])
-        return float(self.log10(np.array([END]), slots)[0])
+        """The log10 probability of each text with its end."""
+        symbol, slots, owner = contexts(words)
+        return np.bincount(owner, self.log10(symbol, slots), len(words))
 
 
 def _vocabulary(words: Words) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -184,7 +136,7 @@ def _frequent(shared):
     """For each text one row of sums over its frequent words, and a row (word, n) for each other word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, base, score = shared.value
+        keys, base = shared.value
         for whole in batches:
             for batch in blocks(whole, "text"):
                 rows, words = np.asarray(batch.column("row")), Words(batch.column("text"))
@@ -195,7 +147,7 @@ def _frequent(shared):
                 known = often[which]
                 mine, place = owner[known], at[which[known]]
                 n = len(rows)
-                sums = [np.bincount(mine, minlength=n).astype(np.int64), np.bincount(mine, base[place], n), np.bincount(mine, score[place], n)]
+                sums = [np.bincount(mine, minlength=n).astype(np.int64), np.bincount(mine, base[place], n)]
                 pairs, count = np.unique(owner[~known] * max(1, len(own)) + which[~known], return_counts=True)
                 rest = pairs // max(1, len(own))
                 mark = pa.array([b" " + r.tobytes() for r in rows], pa.binary())  # no word holds a space, so none is met
@@ -203,95 +155,145 @@ def _frequent(shared):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([rows, rows[rest]])), pa.concat_arrays([mark, names.take(pa.array(pairs % max(1, len(own))))]),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), count])), zeros(sums[0], pa.int64()), zeros(sums[1], pa.float64()), zeros(sums[2], pa.float64()),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), count])), zeros(sums[0], pa.int64()), zeros(sums[1], pa.float64()),
                     ],
-                    ["row", "word", "n", "k", "b", "s"],
+                    ["row", "word", "n", "k", "b"],
                 )
 
     return run
 
 
-def _trie_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(ord, key, n): in how many words of a partition each symbol follows each context."""
-    held = [np.zeros((3, 0), np.int64)]
-    for frame in frames:
-        for a in range(0, len(frame), _BATCH):
-            part = frame.iloc[a : a + _BATCH]
-            symbol, slots, _ = contexts([bytes(w) for w in part["word"]])
-            for n in range(ORDER + 1):
-                key, count = np.unique(slots[n] * SYMBOLS + symbol, return_counts=True)
-                held.append(np.stack([np.full(len(key), n), key, count]))
-            held = [_summed(held)]
-    order, key, count = _summed(held)
-    yield pd.DataFrame({"ord": order.astype(np.int32), "key": key, "n": count})
-
-
 def _summed(parts: list[np.ndarray]) -> np.ndarray:
-    order, key, n = np.concatenate(parts, axis=1)
-    code, which = np.unique(order << 40 | key, return_inverse=True)
-    return np.stack([code >> 40, code & ((1 << 40) - 1), np.bincount(which.reshape(-1), n, len(code)).astype(np.int64)])
+    """Rows gram, count and count in training, each gram once."""
+    gram, m, c = np.concatenate(parts, axis=1)
+    gram, which = np.unique(gram, return_inverse=True)
+    total = lambda x: np.bincount(which.reshape(-1), x, len(gram)).astype(np.int64)
+    return np.stack([gram, total(m), total(c)])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (ord, key, n) as two byte strings for each batch."""
-    for batch in batches:
-        code = np.asarray(batch.column("ord")).astype(np.uint32) << np.uint32(25) | np.asarray(batch.column("key")).astype(np.uint32)
-        count = np.minimum(np.asarray(batch.column("n")), 2**32 - 1).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([code.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], ["code", "count"])
-
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, m, c): a task's grams, how often all its texts have them, and its training texts."""
+    out = lambda held: pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["gram", "m", "c"])
+    held, new, size = np.zeros((3, 0), np.int64), [], 0
+    for whole in batches:
+        for batch in blocks(whole, "text", _COUNT_BYTES):
+            code, first = grams(batch.column("text"))
+            learn = np.repeat(np.asarray(batch.column("learn")), np.diff(first))
+            both, n = np.unique(code * 2 + learn, return_counts=True)
+            new.append(np.stack([both >> 1, n, n * (both & 1)]))
+            size += len(both)
+            if size >= _HELD // 2:
+                held, new, size = _summed([held, *new]), [], 0
+                if held.shape[1] >= _HELD:
+                    yield out(held)
+                    held = np.zeros((3, 0), np.int64)
+    yield out(_summed([held, *new]))
+
+
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """counts (gram, m, c; each gram once) and score: log10 of the gram's last symbol after those before it."""
+    key = lambda n: F.col("gram") % F.lit(SYMBOLS ** (n + 1))
+    lowest = counts.groupBy(key(0).alias("key")).agg(F.sum("c").alias("c")).collect()  # at most 257 rows
+    kinds, total = sum(r["c"] > 0 for r in lowest), sum(r["c"] for r in lowest)
+    spark = counts.sparkSession
+    below = spark.createDataFrame([(r["key"], r["c"], total, kinds, -math.log10(max(1, SYMBOLS - kinds))) for r in lowest], "key long, c long, n long, t long, low double")
+    for order in range(1, ORDER + 1):
+        own = counts.select("gram", "m", "c", F.col("gram").alias("key")) if order == ORDER else counts.groupBy(key(order).alias("key")).agg(F.sum("c").alias("c"))
+        short = below.select(F.col("key").alias("under"), F.col("c").alias("lc"), F.col("n").alias("ln"), F.col("t").alias("lt"), F.col("low").alias("ll"))
+        rows = own.withColumn("under", F.col("key") % F.lit(SYMBOLS**order)).join(short, "under")
+        context = Window.partitionBy(F.expr(f"key div {SYMBOLS}"))
+        met = F.col("c") > 0
+        rows = rows.withColumns({"n": F.sum("c").over(context), "t": F.count(F.when(met, 1)).over(context), "x": F.sum(F.when(met, F.col("lc")).otherwise(0)).over(context)})
+        # without the symbols that this order offers, the shorter context has ln - x counts of lt - t kinds
+        left = F.col("ln") - F.col("x") + F.col("lt") - F.col("t")
+        escape = F.when(F.col("lt") > F.col("t"), F.log10((F.col("lt") - F.col("t")) / left)).otherwise(0.0)
+        low = F.when(met, 0.0).when(F.col("lc") > 0, F.log10(F.col("lc") / left)).otherwise(escape + F.col("ll"))
+        below = rows.withColumn("low", low)
+    size = F.col("n") + F.col("t")
+    escape = F.when(F.col("t") > 0, F.log10(F.col("t") / size)).otherwise(0.0)
+    return below.select("gram", "m", "c", F.when(met, F.log10(F.col("c") / size)).otherwise(escape + F.col("low")).alias("score"))
+
+
+def _frequent_grams(table: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams above a count that at most `limit` grams reach, sorted, and their scores."""
+    sizes = table.groupBy(F.floor(F.log2("m") * 16).alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect()  # at most 1024 rows
+    least, held = 1024, 0
+    for r in sizes:
+        held += r["n"]
+        if held > limit:
+            break
+        least = r["size"]
+    often = table.where(F.floor(F.log2("m") * 16) >= least).select("gram", "score").toArrow()
+    gram, score = (np.asarray(often.column(i).combine_chunks()) for i in range(2))
+    order = np.argsort(gram)
+    return gram[order], score[order]
+
+
+def _hashed(gram: np.ndarray) -> np.ndarray:
+    return (gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+
+
+def _gram_sums(shared):
+    """For each text one row with the sum of its frequent grams, and a row for each other gram."""
 
-def _spelt(trie):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"word": frame["word"], "c": frame["c"], "spelt": trie.value.words([bytes(w) for w in frame["word"]])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, score = shared.value
+        slot = np.zeros(1 << _TABLE_BITS, np.int32)
+        slot[_hashed(keys)] = np.arange(len(keys))
+        for whole in batches:
+            for batch in blocks(whole, "text"):
+                rows = np.asarray(batch.column("row"))
+                code, first = grams(batch.column("text"))
+                owner = np.repeat(np.arange(len(rows)), np.diff(first))
+                if len(keys):
+                    at = slot[_hashed(code)]
+                    met = keys[at] == code
+                    rest = np.flatnonzero(~met)  # not broadcast, or another gram has its slot
+                    found = np.minimum(np.searchsorted(keys, code[rest]), len(keys) - 1)
+                    also = keys[found] == code[rest]
+                    at[rest[also]], met[rest[also]] = found[also], True
+                    sums = np.bincount(owner[met], score[at[met]], len(rows))
+                else:
+                    met, sums = np.zeros(len(code), bool), np.zeros(len(rows))
+                apart = -1 - (rows & ((1 << 62) - 1))  # no gram, and not one key for all texts
+                columns = [np.concatenate([rows, rows[owner[~met]]]), np.concatenate([apart, code[~met]]), np.concatenate([sums, np.zeros((~met).sum())])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "gram", "s"])
 
     return run
 
 
-def ppm_scores(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+def ppm_scores(docs: DataFrame, frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; docs must have held_out."""
     sc = docs.sparkSession.sparkContext
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.xxhash64("doc_id", "text").alias("row"))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), (~F.col("held_out")).alias("learn"), F.col("text").cast("string").alias("text"))
     table = settle(texts.select("learn", "text").mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = ids.where(~F.col("held_out")).count()
-    sums = table.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
-    total, distinct, escape = (sums[0] or 0) + ends, sums[1] + (ends > 0), sums[2] + 1
-
-    # the trie: bounded, see above
-    counted = table.where("c > 0").mapInPandas(_trie_counts, "ord int, key long, n long").groupBy("ord", "key").agg(F.sum("n").alias("n"))
-    packed = counted.mapInArrow(_packed, "code binary, count binary").collect()
-    code, count = (np.concatenate([np.frombuffer(r[i], np.uint32) for r in packed] or [np.zeros(0, np.uint32)]) for i in range(2))
-    del packed
-    if ends:
-        _, slots, _ = contexts([b""])
-        code = np.append(code, np.array([n << 25 | int(slots[n][0]) * SYMBOLS + END for n in range(ORDER + 1)], np.uint32))
-        count = np.append(count, np.ones(ORDER + 1, np.uint32))
-    trie = Trie(code >> np.uint32(25), (code & np.uint32((1 << 25) - 1)).astype(np.int32), count)
-    spelt = settle(table.mapInPandas(_spelt(sc.broadcast(trie)), "word binary, c long, spelt double"), "spelt")
-
-    seen = spelt.where("c > 0").agg(F.sum(F.pow(F.lit(10.0), "spelt"))).first()[0] or 0.0
-    seen = min(seen + (10 ** trie.end() if ends else 0.0), 1 - 1e-9)
-    novel = math.log10(escape / (total + escape)) - math.log10(1 - seen)
-    end = math.log10(ends / (total + escape)) if ends else novel + trie.end()
+    sums = table.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
+    total, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
     floor = total + 0.5 * (distinct + 1)
 
-    # the `frequent` most frequent words are scored where they stand; all others by a join
+    counts = texts.select("learn", "text").mapInArrow(_gram_counts, "gram long, m long, c long").groupBy("gram").agg(F.sum("m").alias("m"), F.sum("c").alias("c"))
+    scored = settle(gram_scores(settle(counts, "grams")), "scored")
+    shared = sc.broadcast(_frequent_grams(scored, frequent_grams))
+    spelt = texts.select("row", "text").mapInArrow(_gram_sums(shared), "row long, gram long, s double")
+    spelt = spelt.join(scored.select("gram", "score"), "gram", "left").groupBy("row").agg(F.sum(F.col("s") + F.coalesce("score", F.lit(0.0))).alias("s"))
+
+    # the `frequent` most frequent words are counted where they stand; all others by a join
     often = table.where("c > 0").orderBy(F.desc("c"), "word").limit(frequent).collect()
     keys = Words(pa.array([bytes(r["word"]) for r in often], pa.binary())).hashes()
     order, c = np.argsort(keys), np.array([r["c"] for r in often], np.float64)
-    shared = sc.broadcast((keys[order], np.log10((c[order] + 0.5) / floor), np.log10(c[order] / (total + escape))))
-    parts = texts.select("row", "text").mapInArrow(_frequent(shared), "row long, word binary, n long, k long, b double, s double")
-    joined = parts.join(spelt, "word", "left")
+    shared = sc.broadcast((keys[order], np.log10((c[order] + 0.5) / floor)))
+    parts = texts.select("row", "text").mapInArrow(_frequent(shared), "row long, word binary, n long, k long, b double")
+    joined = parts.join(table, "word", "left")
     known = F.coalesce(F.col("c"), F.lit(0)) > 0
     base = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.5) / F.lit(floor))
-    token = F.when(known, F.log10(F.col("c") / F.lit(float(total + escape)))).otherwise(F.col("spelt") + F.lit(novel))
     rare = lambda x: F.when(F.col("n") > 0, F.col("n") * x).otherwise(F.lit(0.0))
     sums = joined.groupBy("row").agg(
-        F.sum(F.col("n") + F.col("k")).alias("w"), F.sum(F.col("k") + F.when(known, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("b") + rare(base)).alias("b"), F.sum(F.col("s") + F.coalesce(rare(token), F.lit(0.0))).alias("s")
+        F.sum(F.col("n") + F.col("k")).alias("w"), F.sum(F.col("k") + F.when(known, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("b") + rare(base)).alias("b")
     )
     copies = ids.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    sums = sums.join(copies, "row")
+    sums = sums.join(spelt, "row").join(copies, "row")
     part = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
     whole = lambda c: F.coalesce(F.expr(f"{c} div copies"), F.lit(0))
     return ids.join(sums, "row", "left").select(
@@ -301,7 +303,7 @@ def ppm_scores(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         (whole("k") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (part("b") + F.lit(math.log10((ends + 0.5) / floor))).alias("base_score"),
-        (part("s") + F.lit(end)).alias("score"),
+        part("s").alias("score"),
     )
 
 

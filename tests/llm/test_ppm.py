@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,22 @@ def test_each_context_is_a_distribution(trie):
 def test_seen_spellings_are_likelier(trie):
     a, b, c = trie.words([b"banana", b"qqqqqq", b""])
     assert a > b and c < 0
+
+
+def test_every_byte_is_scored_by_contexts_across_words(make):
+    rows = [(i, f"the cat {i % 5} sat on the mat") for i in range(40)] + [(50, "mat the on sat 0 cat the"), (51, "the cat 0 sat on the mat"), (52, None), (53, "é new wörd")]
+    docs = make(*rows).withColumn("held_out", F.col("doc_id") >= 50)
+    symbol, slots, _ = ppm.contexts([t.encode() for i, t in rows if i < 50])
+    order = np.repeat(np.arange(ppm.ORDER + 1), len(symbol))
+    key, count = np.unique(np.stack([order, (slots * ppm.SYMBOLS + symbol).reshape(-1)]), axis=1, return_counts=True)
+    want = dict(zip([i for i, _ in rows], ppm.Trie(key[0], key[1], count).words([(t or "").encode() for _, t in rows]), strict=True))
+    for frequent in (ppm.FREQUENT_GRAMS, 20, 0):
+        got = {r["doc_id"]: r["score"] for r in ppm.ppm_scores(docs, frequent_grams=frequent).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert got[51] > got[50] + 1  # the same words in another order
+
+
+def test_grams_are_told_apart():
+    code, first = ppm.grams(pa.array(["abcdefg", None, "", "bcdefg"]))
+    assert np.diff(first).tolist() == [8, 1, 1, 7] and code[8] == code[9]
+    assert code[6] == code[15] and code[5] != code[14]  # five symbols before g alike; before f not

@@ -4,8 +4,10 @@ Method
   A text's UTF-8 bytes, followed by zero bytes up to a positive multiple of 64,
   are the samples of an 8-bit mono WAV written by the `wave` module. The
   stored form is read back, cut into Hann-windowed frames and transformed.
+  Silence before and after lets frames overlap over the first and last sample too,
+  and there are at least two frames.
   The strongest bin of each of four frequency bands is a peak; every peak is paired with
-  the peaks of the next three frames, and a pair's code holds both bins and
+  all peaks of the next three frames, and a pair's code holds both bins and
   their distance. Codes and the frames they start at are two equally long
   arrays. The feature string names their numbers and a digest of both.
 
@@ -38,6 +40,7 @@ FRAME, HOP = 256, 192
 #: The bins of the four frequency bands.
 BANDS = ((1, 16), (16, 40), (40, 80), (80, 129))
 REACH = 3
+SILENCE = b"\x80"
 _FRAMES = 4096
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
@@ -73,12 +76,14 @@ def peaks(payload: bytes) -> np.ndarray:
 
 def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frames and codes of all peak pairs, in frame order."""
-    top = peaks(payload)
+    lap = FRAME - HOP  # the window is nothing at the ends of a frame
+    hops = max(1, -(-(len(payload) + 2 * lap - FRAME) // HOP))
+    top = peaks((SILENCE * lap + payload).ljust(FRAME + hops * HOP, SILENCE))
     times, codes = [], []
     for gap in range(1, REACH + 1):
         a, b = top[:-gap], top[gap:]
-        times.append(np.repeat(np.arange(len(a), dtype=np.int32), len(BANDS)))
-        codes.append((a << 16 | b << 8 | gap).reshape(-1))
+        times.append(np.repeat(np.arange(len(a), dtype=np.int32), len(BANDS) ** 2))
+        codes.append((a[:, :, None] << 16 | b[:, None, :] << 8 | gap).reshape(-1))
     times, codes = np.concatenate(times), np.concatenate(codes)
     order = np.argsort(times, kind="stable")
     return times[order], codes[order]

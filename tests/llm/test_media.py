@@ -37,3 +37,29 @@ def test_a_tone_peaks_at_its_frequency():
     assert len(top) == (8192 - FRAME) // HOP + 1 and (top[:, 1] == 30).all()
     times, codes = fingerprint(tone)
     assert (30 << 16 | 30 << 8 | 1) in codes[times == 0].tolist()
+
+
+def test_every_part_of_a_text_reaches_the_feature(make):
+    long = "".join(chr(97 + i * i % 26) for i in range(640))
+    texts = ["a", "another short text", "x" * 380, "xy" * 190, *(long[:n] + c * 40 for n in (472, 536, 600) for c in "az")]
+    got = media_features(make(*enumerate(texts)), with_arrays=False).collect()
+    assert len({r["feature"] for r in got}) == len(texts)
+    assert all(int(r["feature"].split(":")[1]) > 0 for r in got)
+
+
+def test_first_and_last_samples_count():
+    for size in (64, 256, 320, 384, 448, 640):
+        for part in (slice(0, 16), slice(size - 16, size)):
+            payload = bytearray(b"\x80" * size)
+            payload[part] = bytes((255, 255, 0, 0) * 4)
+            assert fingerprint(bytes(payload))[1].tolist() != fingerprint(b"\x80" * size)[1].tolist()
+
+
+def test_all_bands_are_paired():
+    payload = bytes(i * i % 251 for i in range(4096))
+    lap = FRAME - HOP
+    top = peaks(b"\x80" * lap + payload)
+    times, codes = fingerprint(payload)
+    for gap in (1, 2, 3):
+        want = {int(a) << 16 | int(b) << 8 | gap for a in top[4] for b in top[4 + gap]}
+        assert want == {c for c in codes[times == 4].tolist() if c & 255 == gap} and len(want) == 16

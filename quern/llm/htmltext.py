@@ -12,6 +12,9 @@ Method
 
   Lines inside menus, headers, footers, sidebars, notices, adverts, forms,
   scripts, styles and reader comments, known by element, role, class or id, never count.
+  A class or id is such a name if it consists of junk words and words of place
+  ("main-nav", not "has-sidebar"). No name drops an article, a main or an element that
+  holds one, but reader comments, if an article with text stands outside them.
 
 Character references are decoded; white space inside a line becomes one space
 (a <br> too); lines are trimmed and joined by one newline; nothing else is
@@ -45,11 +48,16 @@ _CLOSES_P = _BLOCK - frozenset("body head html li dd dt tr td th tbody thead tfo
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _JUNK = frozenset("aside audio button canvas dialog footer form head header iframe input math menu nav noscript object script select style svg template textarea title video".split())
 _JUNK_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-_JUNK_NAME = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscri\w*|"
-    r"sign-?up|log-?in|menus?|nav|navbar|navigation|breadcrumbs?|side-?bars?|aside|footers?|headers?|masthead|related|recommend\w*|share|sharing|social|widgets?|"
-    r"comments?|commentlist|disqus|repl(?:y|ies)|discussion|forms?|search)(?![a-z])"
+_COMMENT_WORD = r"comments?|commentlist|disqus|repl(?:y|ies)|discussion"
+_JUNK_WORD = (
+    r"ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscri\w*|"
+    r"signup|login|menus?|nav|navbar|navigation|breadcrumbs?|sidebars?|aside|footers?|headers?|masthead|related|recommend\w*|share|sharing|social|widgets?|"
+    rf"forms?|search|{_COMMENT_WORD}"
 )
+#: Words that may stand beside a junk word: where or what kind of thing it is.
+_PLACE_WORD = r"site|page|main|top|bottom|left|right|primary|secondary|global|sticky|mobile|user|box|bar|area|list|items?|links?|buttons?|icons?|block|section|container|wrap(?:per)?|inner|outer|col|column|unit|slot|\d+"
+_JUNK_NAME, _COMMENT_NAME = (re.compile(rf"(?=(?:.*-)?(?:{w})(?:-|$))(?:(?:{_JUNK_WORD}|{_PLACE_WORD})(?:-|$))+") for w in (_JUNK_WORD, _COMMENT_WORD))
+_JOINED = {"sign-up": "signup", "log-in": "login", "side-bar": "sidebar"}
 _CONTENT = frozenset(("article", "main"))
 SIGMA, REACH = 1.0, 3
 #: Part of the selected text that a content element without a telling name must hold.
@@ -67,18 +75,46 @@ class _Lines(HTMLParser):
         self.parent: dict[int, int] = {0: 0}
         self.name: dict[int, str] = {0: ""}
         self.junk: list[int] = []  # depths at which junk elements stand
-        self.lines: list[tuple[str, int, int]] = []  # text, tags, number of the element around it
-        self.parts: list[str] = []
+        self.named: dict[int, bool] = {}  # elements of a junk name, and whether it is one of reader comments
+        self.runs: list[tuple[list[tuple[str, int]], int, int]] = []  # parts, tags, number of the element around them
+        self.parts: list[tuple[str, int]] = []  # text and the element that holds it
         self.tags = 0
 
+    def inner(self) -> int:
+        return self.open[-1][1] if self.open else 0
+
     def end_line(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
+            self.runs.append((self.parts, self.tags, self.inner()))
             self.parts = []
         self.tags = 0
 
+    def lines(self) -> list[tuple[str, int, int]]:
+        """Text, tags and number of the element around it of each line outside junk names."""
+        holds: set[int] = set()  # articles, mains and all elements around them
+        for number, name in self.name.items():
+            while name in _CONTENT and number not in holds:
+                holds.add(number)
+                number = self.parent[number]
+        out = self.outside({n for n in self.named if n not in holds})
+        comments = {n for n, comment in self.named.items() if comment}
+        if comments & holds:
+            # comments can be articles too: they go if an article with a line stands outside them
+            rest = self.outside({n for n in self.named if n not in holds} | comments)
+            article: dict[int, bool] = {}
+            for number in self.parent:
+                article[number] = self.name[number] == "article" or bool(number) and article[self.parent[number]]
+            if any(article[number] for _, _, number in rest):
+                return rest
+        return out
+
+    def outside(self, dropped: set[int]) -> list[tuple[str, int, int]]:
+        gone = {0: False}
+        for number, above in self.parent.items():  # parents come first
+            gone[number] = number in dropped or gone[above]
+        lines = ((" ".join("".join(text for text, n in parts if not gone[n]).split()), tags, number) for parts, tags, number in self.runs)
+        return [line for line in lines if line[0]]
+
     def cut(self, depth: int) -> None:
         """Close all elements from this depth on."""
         del self.open[depth:]
@@ -98,24 +134,41 @@ class _Lines(HTMLParser):
         else:
             self.tags += 1
         if tag == "br" and not self.junk:
-            self.parts.append(" ")
+            self.parts.append((" ", self.inner()))
         if tag in _VOID:
             return
         number = len(self.parent)
-        self.parent[number], self.name[number] = self.open[-1][1] if self.open else 0, tag
+        self.parent[number], self.name[number] = self.inner(), "" if self.junk else tag
         self.open.append((tag, number))
         if tag in _JUNK or attrs and tag not in ("html", "body") and self.is_junk(attrs):
             self.junk.append(len(self.open) - 1)
+        elif attrs and not self.junk and tag not in ("html", "body"):
+            names = self.junk_names(attrs)
+            if names:
+                self.named[number] = any(_COMMENT_NAME.fullmatch(n) for n in names)
 
     @staticmethod
     def is_junk(attrs: list) -> bool:
         for key, value in attrs:
             if key == "hidden":
                 return True
-            if value and (key in ("class", "id") and _JUNK_NAME.search(value.lower()) or key == "role" and value.lower() in _JUNK_ROLE):
+            if value and key == "role" and value.lower() in _JUNK_ROLE:
                 return True
         return False
 
+    @staticmethod
+    def junk_names(attrs: list) -> list[str]:
+        out = []
+        for key, value in attrs:
+            if value and key in ("class", "id"):
+                for token in value.lower().split():
+                    token = re.sub(r"[^a-z0-9]+", "-", token).strip("-")
+                    for apart, joined in _JOINED.items():
+                        token = token.replace(apart, joined)
+                    if _JUNK_NAME.fullmatch(token):
+                        out.append(token)
+        return out
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
@@ -135,7 +188,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.junk:
-            self.parts.append(data)
+            self.parts.append((data, self.inner()))
 
 
 def smoothed_ratios(lines: list[tuple[str, int, int]]) -> np.ndarray:
@@ -148,7 +201,7 @@ def main_text(html: str | None) -> str:
     page.feed(html or "")
     page.close()
     page.end_line()
-    lines = page.lines
+    lines = page.lines()
     if not lines:
         return ""
     smooth = smoothed_ratios(lines)

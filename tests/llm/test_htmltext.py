@@ -40,3 +40,26 @@ def test_rows(spark):
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in extract(pages).collect())
     assert got == [("1", LONG, len(LONG)), ("1", LONG, len(LONG)), ("3", "x", 1), ("None", "", 0)]
     assert extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["post comments-open", "content has-sidebar", "layout no-sidebar", "entry-header", "sidebar", "main-nav"])
+def test_no_name_drops_an_article(name):
+    assert main_text(f"<article class='{name}'><p>{LONG}</p></article>") == LONG
+    assert main_text(f"<div><div class='{name}'><main><p>{LONG}</p></main></div><p>x</p></div>") == LONG
+
+
+@pytest.mark.parametrize("name", ["comments-open", "has-sidebar", "no-sidebar", "entry-header"])
+def test_a_part_of_a_name_is_no_name(name):
+    assert main_text(f"<div><div class='{name}'><p>{LONG}</p></div></div>") == LONG
+
+
+@pytest.mark.parametrize("name", ["ad", "main-nav", "site_footer", "cookie-notice", "sign-up", "comment-list", "x sidebar", "side-bar", "login-form"])
+def test_names_of_junk(name):
+    assert main_text(f"<div><p>{LONG} one</p><div class='{name}'><p>{LONG}</p></div><p>a <b class='{name}'>b</b> c</p></div>") == f"{LONG} one\na c"
+
+
+def test_comments_that_are_articles():
+    comment = f"<section id='comments'><article class='comment'><p>{LONG} says a reader</p></article></section>"
+    assert main_text(f"<article><p>{LONG}</p>{comment}</article>") == LONG
+    assert main_text(f"<article><p>{LONG}</p></article>{comment}") == LONG
+    assert main_text(comment) == f"{LONG} says a reader"

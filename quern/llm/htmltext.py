@@ -5,10 +5,10 @@ Method
   block-level tags is one line, with the number of tags inside it. A line's
   text-to-tag ratio is smoothed over its neighbours with a Gaussian kernel,
   and lines above the threshold (the standard deviation of the smoothed
-  ratios) form clusters. The clusters select the content region: the
-  articles or main elements that hold them if there are any, else the
-  deepest element that holds most of their text. All lines of the region are
-  kept, short ones too.
+  ratios) form clusters. The clusters select the content region: all
+  articles and main elements if there is a cluster in one, else the
+  deepest element that holds all clusters and isn't itself a part of a text, such as a paragraph, section or
+  quotation. All lines of the region are kept, short ones too.
 
   Lines inside menus, headers, footers, sidebars, notices, adverts, forms,
   scripts, styles and reader comments, known by element, role, class or id, never count.
@@ -60,8 +60,11 @@ _JUNK_NAME, _COMMENT_NAME = (re.compile(rf"(?=(?:.*-)?(?:{w})(?:-|$))(?:(?:{_JUN
 _JOINED = {"sign-up": "signup", "log-in": "login", "side-bar": "sidebar"}
 _CONTENT = frozenset(("article", "main"))
 SIGMA, REACH = 1.0, 3
-#: Part of the selected text that a content element without a telling name must hold.
-SHARE = 0.8
+#: Parts of a text, which never are the region.
+_PARTS = frozenset(
+    "a abbr b bdi bdo big blockquote caption cite code dd del details dfn dl dt em figcaption figure font h1 h2 h3 h4 h5 h6 hgroup i ins kbd label li mark ol p pre q s samp "
+    "section small span strong sub summary sup table tbody td tfoot th thead time tr tt u ul var".split()
+)
 _KERNEL = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
 _KERNEL /= _KERNEL.sum()
 
@@ -215,14 +218,10 @@ def main_text(html: str | None) -> str:
         return out
 
     paths = [above(number) for _, _, number in lines]
-    held: dict[int, int] = {}
-    for i in chosen.tolist():
-        for number in paths[i]:
-            held[number] = held.get(number, 0) + len(lines[i][0])
-    region = {n for n in held if page.name[n] in _CONTENT}
-    if not region:
-        enough = [n for n, size in held.items() if size >= SHARE * held[0]]
-        region = {max(n for n in enough if page.name[n] not in ("p", "span", "b", "i", "em", "strong", "a"))}
+    held = set.intersection(*(set(paths[i]) for i in chosen.tolist()))
+    region = {n for path in paths for n in path if page.name[n] in _CONTENT}
+    if not any(not region.isdisjoint(paths[i]) for i in chosen.tolist()):
+        region = {max(n for n in held if page.name[n] not in _PARTS)}
     return "\n".join(text for (text, _, _), path in zip(lines, paths, strict=True) if not region.isdisjoint(path))
 
 

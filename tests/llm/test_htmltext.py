@@ -63,3 +63,15 @@ def test_comments_that_are_articles():
     assert main_text(f"<article><p>{LONG}</p>{comment}</article>") == LONG
     assert main_text(f"<article><p>{LONG}</p></article>{comment}") == LONG
     assert main_text(comment) == f"{LONG} says a reader"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<div id=content><div class=intro><p>{LONG}</p></div><div class=body>{f'<p>{LONG}</p>' * 6}</div></div>", [LONG] * 7),
+        *((f"<div><h2>Head</h2><p>Intro.</p>{open_}{f'<p>{LONG}</p>' * 6}{close}<p>End.</p></div>", ["Head", "Intro.", *[LONG] * 6, "End."]) for open_, close in (("<section>", "</section>"), ("<blockquote>", "</blockquote>"), ("<table><tr><td>", "</table>"))),
+        (f"<div><article>{f'<p>{LONG}</p>' * 6}</article><ul><li>x<li>y<li>z</ul><article><p>Short.</p></article></div>", [LONG] * 6 + ["Short."]),
+    ],
+)
+def test_the_region_holds_the_whole_text(html, want):
+    assert main_text(html) == "\n".join(want)

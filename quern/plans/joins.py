@@ -49,6 +49,12 @@ def join_full(spark, d):
     return s.where("s_suppkey < 50").join(c.where("c_custkey > 20 AND c_custkey < 90"), s.s_suppkey == c.c_custkey, "full").select("s_suppkey", "c_custkey")
 
 
+@_family.add("SELECT s_suppkey, s_name, c_custkey, c_name FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
+def join_full_tables(spark, d):
+    s, c = _t(spark, d, "supplier", "customer")
+    return s.join(c, s.s_suppkey == c.c_custkey, "full").select("s_suppkey", "s_name", "c_custkey", "c_name")
+
+
 @_family.add("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
 def join_semi_exists(spark, d):
     c, o = _t(spark, d, "customer", "orders")

@@ -106,3 +106,8 @@ def pred_not_in_null(spark, d):
 def pred_cast(spark, d):
     rows = table(spark, d, "events").where((F.col("value") == F.floor("value")) | (F.col("event_id") < 50))
     return rows.select("event_id", F.col("ts").cast("string").cast("timestamp_ntz").alias("back"), F.rint("value").cast("long").alias("v"))
+
+
+@_family.add("SELECT event_id, CAST(CAST(ts AS VARCHAR) AS TIMESTAMP) AS back, CAST(value AS BIGINT) AS v FROM events")
+def pred_cast_events(spark, d):
+    return table(spark, d, "events").select("event_id", F.col("ts").cast("string").cast("timestamp_ntz").alias("back"), F.rint("value").cast("long").alias("v"))

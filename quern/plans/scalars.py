@@ -149,6 +149,12 @@ def fn_int_division(spark, d):
     return table(spark, d, "orders").where("o_custkey % 4 = 0").select("o_orderkey", Q.int_div(_c("o_orderkey"), F.lit(7)).alias("q"), Q.int_div(-_c("o_custkey"), F.lit(4)).alias("z"))
 
 
+@_family.add("SELECT o_orderkey, CAST(trunc(o_orderkey / 7) AS BIGINT) AS q, CAST(trunc((0 - o_custkey) / 4) AS BIGINT) AS z, CAST(trunc(o_custkey / (-4)) AS BIGINT) AS y FROM orders")
+def fn_int_division_signed(spark, d):
+    key = _c("o_custkey")
+    return table(spark, d, "orders").select("o_orderkey", Q.int_div(_c("o_orderkey"), F.lit(7)).alias("q"), Q.int_div(-key, F.lit(4)).alias("z"), Q.int_div(key, F.lit(-4)).alias("y"))
+
+
 @_family.add("SELECT o_orderkey, (0 - o_orderkey) % 7 AS m, o_orderkey % (-5) AS k FROM orders")
 def fn_mod_div(spark, d):
     return table(spark, d, "orders").select("o_orderkey", (-_c("o_orderkey") % 7).alias("m"), (_c("o_orderkey") % F.lit(-5)).alias("k"))

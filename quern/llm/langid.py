@@ -51,6 +51,10 @@ def fold(doc_id: str, parts: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(parts))
 
 
+def has_letter(texts: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
+
+
 def presence(texts: pa.Array) -> np.ndarray:
     """A row for each text: which hashed n-grams it has."""
     raw = [np.frombuffer(t, np.uint8) for t in pc.fill_null(texts, "").cast(pa.binary()).to_pylist()]
@@ -89,7 +93,7 @@ class Model:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         names, best = [], np.zeros(len(texts))
-        letters = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
+        letters = has_letter(texts)
         for a in range(0, len(texts), _ROWS):
             part = texts.slice(a, _ROWS)
             if not self.langs:
@@ -142,8 +146,12 @@ def _known(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks(whole, "text"):
-                names, _ = model.value.predict(batch.column("text"))
-                yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+                if model.value.langs:
+                    names, _ = model.value.predict(batch.column("text"))
+                    keep = np.array([n != UNKNOWN for n in names], bool)
+                else:
+                    keep = has_letter(batch.column("text"))
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -155,7 +163,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that have a language; all columns stay as they are."""
+    """The documents that have a language, or a letter if nothing was learnt; all columns stay as they are."""
     return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
 
 

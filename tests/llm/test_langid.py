@@ -41,3 +41,9 @@ def test_the_folded_matrix_is_kernel_ridge_regression():
     kernel = x @ x.T
     dual = kernel @ np.linalg.solve(kernel + 0.05 * 40 * np.eye(40), target)
     assert np.abs(x @ model.weights - dual).max() < 1e-3
+
+
+def test_documents_stay_if_there_is_nothing_to_learn_from(make):
+    docs = make((1, "kalmor ten", None), (2, "123 !!", None), (3, None, None), (4, "élan", None))
+    kept = langid.with_language(docs, langid.learn_from_folds(docs))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and kept.schema == docs.schema

@@ -2,8 +2,8 @@
 
 Method
   Known forms (assignments, access keys, hex runs) are found by pattern. The
-  battery looks at all other runs of 20 or more key characters with a letter
-  and a digit. For each the encoding is inferred (hex, base32, base36 of
+  battery looks at all other runs of 20 or more key characters; in shorter ones it
+  can't tell natural words from random letters. For each the encoding is inferred (hex, base32, base36 of
   either case, else base64), and three tests compare the run with a uniformly random one
   in that alphabet: chi-squared uniformity of the characters, the number of
   runs above and below the middle of the alphabet, and lag-one serial
@@ -34,7 +34,7 @@ _KEY = "A-Za-z0-9+/_=-"
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-RUN = rf"(?<![{_KEY}])(?=[{_KEY}]*[0-9])(?=[{_KEY}]*[A-Za-z])[{_KEY}]{{20,}}"
+RUN = rf"(?<![{_KEY}])[{_KEY}]{{20,}}"
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGNED = 12
@@ -102,7 +102,7 @@ def _tested(runs: Column) -> Column:
     base = ("start", "end")
     runs = F.transform(runs, lambda x: plus(x, *base, "value", k=encoding(x)))
     runs = F.transform(runs, lambda x: plus(x, *base, "k", body=body(x), letters=alphabet(x)))
-    runs = F.transform(runs, lambda x: plus(x, *base, "k", "body", n=F.length(x["body"]), v=F.transform(F.sequence(F.lit(1), F.length(x["body"])), lambda i: F.instr(x["letters"], F.substr(x["body"], i, F.lit(1))) - 1)))
+    runs = F.transform(runs, lambda x: plus(x, *base, "k", "body", n=F.length(x["body"]), v=F.transform(F.split(x["body"], ""), lambda y: F.instr(x["letters"], y) - 1)))
     runs = F.transform(
         runs,
         lambda x: plus(

@@ -63,3 +63,13 @@ def test_redaction(make, odd):
 def test_the_plan_is_native(make):
     plan = redacted(make((1, "x")))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_keys_without_a_digit_are_found(make):
+    r = random.Random(7)
+    keys = ["".join(r.choice(string.ascii_letters) for _ in range(r.randint(24, 40))) for _ in range(60)]
+    plain = ["internationalisationsbehoerdenmitarbeiter", "the-end-of-the-line-and-all-that-is-in-it", "-" * 30, "=" * 50_000]
+    docs = make(*[(i, f"see {k} there") for i, k in enumerate(keys)], *[(1000 + i, f"see {p} there") for i, p in enumerate(plain * 15)])
+    found = {r["doc_id"] for r in secrets(docs).collect() if "random:4:" in r["spans"]}
+    assert sum(i < 1000 for i in found) >= 0.8 * len(keys)
+    assert sum(i >= 1000 for i in found) <= 0.05 * 15 * len(plain)

@@ -2,28 +2,35 @@
 
 Method
   1. Each text becomes its set of five-word shingles (`words.shingles`). A
-     class is a distinct set; exact copies share a class and are never paired.
+     class is a distinct set, named by 128 bits; exact copies share a class and
+     are never paired.
   2. SuperMinHash: the rank of an element in round j is j plus a uniform
      fraction, and lands in the j-th bin of the element's own permutation.
      Rounds stop as soon as every bin has a value from a round already done,
      since later rounds can only give larger ranks.
   3. Signatures are cut into bands. Classes with an equal band meet in a
-     bucket, first with the bucket's smallest class only. Buckets that the
-     resulting components don't yet join are searched again: members outside
-     the bucket's main component meet one of its members in each of three
-     turns, and those that are still apart then meet all members of other
-     components. Pairs whose sizes rule the threshold out are left, and pairs
-     whose signatures agree less than the threshold less five standard
-     deviations.
-  4. Every candidate pair is decided on full sets: 100 |A and B| >= 75 |A or B|.
-  5. Links are merged by union-find within partitions and pointer-jumping
-     between them; no link ever goes to the driver.
-
-Defined results: a null or wordless text has n_shingles 0 and is a component
-of its own. Rows are never merged: a repeated row gives a repeated result. A
+     bucket. First each class meets one class only: the smallest of its
+     largest bucket. Only buckets that the resulting components don't yet join are looked at
+     again: in each of two turns, members outside the bucket's largest
+     component meet one member of it; at last those still apart are compared with the members
+     of other components.
+  4. Pairs are first held against an exact bound: sizes, and the parities of
+     how many shingles fall into each of at least 2n cells, whose number of
+     differences can't exceed the symmetric difference. Every pair that is
+     left is decided on full sets: 100 |A and B| >= 75 |A or B|.
+  5. Links are merged by union-find within partitions and by neighbour minimum and pointer
+     jumping between them; no link ever goes to the driver. Later links are merged as links between components.
+
+The sets of the classes that share a bucket are made by one further scan of the texts, and kept as a table.
+A bitmap of fixed size tells that scan which documents may be needed.
+
+Defined results: a null text, or one without words, has n_shingles 0 and is a component
+of its own. A text of one to four words is a single shingle. Very long texts are
+whole sets like any other. Rows are never merged: a repeated row gives a repeated result. A
 null doc_id is treated like any value, but component_id is the smallest
-non-null doc_id of the component (null if it has none). Columns besides
-doc_id and text are ignored.
+non-null doc_id of the component (null if it has none). Ties of candidates go to the smaller class name, which
+changes no component. An empty table gives no rows. Columns besides
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,25 +41,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.store import read_table, settle
+from quern.llm.store import Scratch, read_table
 from quern.llm.words import SHINGLE, Words, blocks, draws, mix, shingles
 
 BANDS, ROWS = 48, 5
 PERCENT = 75
-#: Candidates are sent to every executor only up to this many rows (16 bytes each).
-BROADCAST_ROWS = 1_000_000
-#: Trees of links are merged in one task up to this many rows (16 bytes each), beyond it by rounds over all tasks.
-SINGLE_TASK_ROWS = 40_000
+#: Turns in which classes outside a bucket's largest component meet one of its members.
+TURNS = 2
+#: The bitmap of documents to be read again has 2^this bits, whatever their number.
+BITMAP_BITS = 23
 
-#: Bits of each signature value that pairs are compared by, and how far below the threshold they may agree.
-NIBBLE, DEVIATIONS = 4, 5.0
-#: Turns in which classes outside a bucket's main component meet one of its members.
-TURNS = 3
-
-_SIGNATURE_SCHEMA = "doc_id long, n_shingles long, class long, bands array<long>, sig array<long>"
+_SIGNATURE_SCHEMA = "doc_id long, n_shingles long, class binary, bands array<long>"
+_SET_SCHEMA = "class binary, n int, level int, bits array<long>, half array<long>, sh array<long>"
 
 
 def superminhash(elements: np.ndarray, m: int) -> np.ndarray:
@@ -86,16 +89,18 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((signature.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + draws(bands, 23)).view(np.int64)
 
 
-def nibbles(signature: np.ndarray) -> np.ndarray:
-    """Four mixed bits of each signature value, sixteen to a number."""
-    four = mix(signature) & np.uint64(15)
-    four = np.concatenate([four, np.zeros(-len(four) % 16, np.uint64)]).reshape(-1, 16)
-    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+def class_key(elements: np.ndarray) -> bytes:
+    """A 128-bit name of a sorted set."""
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
 
-def class_key(elements: np.ndarray) -> int:
-    """A 64-bit name of a sorted set."""
-    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
+def parities(elements: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """level, the parities of the numbers of elements in 64 * 2^level cells, packed, and those of half as many cells."""
+    level = max(0, (2 * len(elements) - 1).bit_length() - 6)
+    cells = 64 << level
+    odd = np.bincount((mix(elements) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    pack = lambda x: np.packbits(x.astype(np.uint8), bitorder="little").view(np.int64)
+    return level, pack(odd), pack(odd[: cells // 2] ^ odd[cells // 2 :]) if level else np.zeros(0, np.int64)
 
 
 def _signatures(bands: int, rows: int, k: int):
@@ -103,45 +108,51 @@ def _signatures(bands: int, rows: int, k: int):
         for whole in batches:
             for batch in blocks(whole, "text"):
                 sh, at = shingles(Words(batch.column("text")), k)
-                sizes, classes, keys, sigs = [], [], [], []
+                sizes, classes, keys = [], [], []
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     own = np.unique(sh[a:b])
                     sizes.append(len(own))
                     classes.append(class_key(own) if len(own) else None)
-                    signature = superminhash(own, bands * rows) if len(own) else None
-                    keys.append(band_keys(signature, bands, rows) if len(own) else None)
-                    sigs.append(nibbles(signature) if len(own) else None)
+                    keys.append(band_keys(superminhash(own, bands * rows), bands, rows) if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "class", "bands", "sig"],
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "class", "bands"],
                 )
 
     return run
 
 
-def _sets(k: int):
-    """class, its sorted shingles: from rows that carry the class they are looked up for."""
+def _sets(k: int, bitmap):
+    """class, its size, parities and sorted shingles: of rows whose place the bitmap has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(bitmap.value, np.uint8)
         for whole in batches:
+            place = np.asarray(whole.column("place"))
+            whole = whole.filter(pa.array((marks[place >> 3] >> (place & 7)) & 1 == 1, pa.bool_()))
             for batch in blocks(whole, "text"):
                 sh, at = shingles(Words(batch.column("text")), k)
-                names, sets = [], []
-                for a, b, want in zip(at[:-1], at[1:], batch.column("class").to_pylist(), strict=True):
-                    own = np.unique(sh[a:b])
-                    if class_key(own) == want:
-                        names.append(want)
-                        sets.append(own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["class", "sh"])
+                own = [np.unique(sh[a:b]) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
+                marked = [parities(s) for s in own]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([class_key(s) for s in own], pa.binary()),
+                        pa.array([len(s) for s in own], pa.int32()),
+                        pa.array([m[0] for m in marked], pa.int32()),
+                        *(pa.array([m[i] for m in marked], pa.list_(pa.int64())) for i in (1, 2)),
+                        pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())),
+                    ],
+                    ["class", "n", "level", "bits", "half", "sh"],
+                )
 
     return run
 
 
 def _local_union_find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each partition's links as one link per member to the smallest member of its tree."""
-    parent: dict[int, int] = {}
+    parent: dict[bytes, bytes] = {}
 
-    def find(x: int) -> int:
+    def find(x: bytes) -> bytes:
         root = x
         while (up := parent.setdefault(root, root)) != root:
             root = up
@@ -151,129 +162,170 @@ def _local_union_find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for frame in frames:
         for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
-            a, b = find(a), find(b)
+            a, b = find(bytes(a)), find(bytes(b))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    out = [(x, find(x)) for x in list(parent)]
-    yield pd.DataFrame([p for p in out if p[0] != p[1]], columns=["a", "b"], dtype="int64")
+    out = [(x, root) for x in list(parent) if (root := find(x)) != x]
+    yield pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
 
-def components(links: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(class, comp) for the classes in links (a, b); comp is the smallest class reachable.
 
-    Union-find inside partitions first. What is left goes to one task if it has
-    at most single_task_rows rows, else through rounds of neighbour minimum plus
-    pointer jump. Labels only ever fall, so a round that leaves their sum
-    unchanged is the last. A class without a row is its own component.
+    Union-find inside partitions first; what is left goes through rounds of neighbour minimum plus
+    pointer jump. Labels only ever fall, so a round that changes none is the last. A class without a row is its own component.
     """
-    forest = settle(links.mapInPandas(_local_union_find, "a long, b long"), "forest")
-    if forest.count() <= single_task_rows:
-        return settle(forest.coalesce(1).mapInPandas(_local_union_find, "a long, b long").toDF("class", "comp"), "labels")
-    both = settle(forest.union(forest.select("b", "a")).distinct(), "adjacent")
-    labels = both.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("class"), F.least("a", "n").alias("comp"))
-    before = None
+    forest = scratch.settle(links.mapInPandas(_local_union_find, "a binary, b binary"), "forest")
+    both = forest.union(forest.select("b", "a"))
+    start = both.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("class"), F.least("a", "n").alias("comp"))
+    labels = scratch.settle(start, "labels")
     while True:
-        labels = settle(labels, "labels")
-        total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            return labels
-        before = total
         near = both.join(labels.select(F.col("class").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["class"] == near["a"], "left").select("class", F.least("comp", "near").alias("comp"))
+        step = labels.join(near, labels["class"] == near["a"]).select("class", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("class").alias("comp"), F.col("comp").alias("over"))
-        labels = step.join(jump, "comp", "left").select("class", F.least("comp", "over").alias("comp"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, leads: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. leads: class, lead (one of its documents)."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(leads, "class")
-    wanted = settle(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("lead"))).select("class", "text")
-    sets = settle(texts.mapInArrow(_sets(k), "class long, sh array<long>").dropDuplicates(["class"]), "sets")
-    a, b = sets.select(F.col("class").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("class").alias("b"), F.col("sh").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    joined = pairs.join(a, "a").join(b, "b")
-    return joined.where(both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-
-def _close(na: str, sa: str, nb: str, sb: str, percent: int, m: int):
-    """Whether sizes and packed signatures leave the threshold possible."""
-    sizes = (F.col(na) * 100 >= F.col(nb) * percent) & (F.col(nb) * 100 >= F.col(na) * percent)
-    ones = F.lit(0x1111111111111111)
-    differ = F.lit(0)
-    for i in range((m + 15) // 16):
-        x = F.col(sa)[i].bitwiseXOR(F.col(sb)[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(ones))
-    agree = percent / 100 + (1 - percent / 100) / 2**NIBBLE
-    most = m * (1 - agree) + DEVIATIONS * (m * agree * (1 - agree)) ** 0.5
-    return sizes & (differ <= int(most))
+        after = step.join(jump, "comp", "left").select("class", "was", F.least("comp", "over").alias("comp"))
+        after = scratch.settle(after, "labels")
+        scratch.drop(labels)
+        if after.where("comp <> was").isEmpty():
+            scratch.drop(forest)
+            return after.select("class", "comp")
+        labels = after.select("class", "comp")
+        scratch.paths[id(labels)] = scratch.paths.pop(id(after))
+
+
+def _possible(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and parities of the classes with these prefixes leave the threshold possible. Never false for a link."""
+    n, level, bits, half = ([F.col(p + name) for p in (x, y)] for name in ("n", "level", "bits", "half"))
+    sizes = (n[0] * 100 >= n[1] * percent) & (n[1] * 100 >= n[0] * percent)
+    one = F.when(level[0] > level[1], half[0]).otherwise(bits[0])
+    two = F.when(level[1] > level[0], half[1]).otherwise(bits[1])
+    differ = F.aggregate(F.zip_with(one, two, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, c: a + c)
+    near = differ * (100 + percent) <= (n[0] + n[1]) * (100 - percent)
+    return sizes & F.when(F.abs(level[0] - level[1]) > 1, True).otherwise(near)
+
+
+def _bitmap(wanted: DataFrame) -> bytes:
+    """One bit for each place that wanted has. At most 2^(BITMAP_BITS - 6) rows come to the driver."""
+    cells = wanted.groupBy(F.shiftright("place", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[np.asarray(cells.column("cell"))] = np.asarray(cells.column("bits"))
+    return out.tobytes()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "neardup")
+    settle, drop = scratch.settle, scratch.drop
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = settle(docs.mapInArrow(_signatures(bands, rows, k), _SIGNATURE_SCHEMA), "signed")
     known = signed.where("class is not null")
-    leads = settle(known.groupBy("class").agg(F.min("doc_id").alias("lead")), "leads")
-    classes = settle(known.select("class", F.col("n_shingles").cast("int").alias("n"), "bands", "sig").dropDuplicates(["class"]), "classes")
-    verify = lambda pairs: _verified(settle(pairs, "pairs"), docs, leads, percent, k)
 
-    # (bucket, class) of all classes, dealt once by bucket for both uses.
-    dealt = classes.select(F.explode("bands").alias("bucket"), "class").repartition("bucket")
-    shared = dealt.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub < top").select("bucket", "hub")
+    # (bucket, class) of the classes that share a bucket with another one
+    dealt = known.select("class", "bands").dropDuplicates(["class"]).select(F.explode("bands").alias("bucket"), "class")
+    shared = dealt.groupBy("bucket").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = settle(dealt.join(shared, "bucket"), "members")
+    first = members.groupBy("class").agg(F.max_by("hub", F.struct("size", "bucket")).alias("hub"))
+    first = settle(first, "first")
+
+    wanted = signed.select("doc_id", "class").join(first.select("class"), "class", "left_semi").select(place.alias("place"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
+    found = docs.select("text", place.alias("place")).mapInArrow(_sets(k, bitmap), _SET_SCHEMA)
+    sets = settle(found.join(first.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
+
+    def named(prefix: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("class").alias(prefix), *(F.col(c).alias(prefix + c) for c in columns))
+
+    sketch = ("n", "level", "bits", "half")
+    tested: list[DataFrame] = []
 
-    def paired(pairs: DataFrame) -> DataFrame:
-        """The distinct (a, b) of pairs (x, y) that sizes and signatures don't rule out."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among the possible pairs (a, b)."""
+        joined = pairs.join(named("b", "sh"), "b").join(named("a", "sh"), "a")
+        both = F.size(F.array_intersect("ash", "bsh")).cast("long")
+        links = joined.where(both * 100 >= percent * (F.size("ash") + F.size("bsh") - both))
+        return settle(links.select("a", "b"), "links")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The distinct (a, b) of pairs (x, y) not tested before that may be links."""
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        one, two = (classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
-        return pairs.join(one, "a").join(two, ["b"]).where(_close("na", "sa", "nb", "sb", percent, bands * rows)).select("a", "b")
-
-    star = settle(paired(members.where("class > hub").select(F.col("hub").alias("x"), F.col("class").alias("y"))), "star")
-    links = settle(verify(star), "links")
-    comps = components(links)
-
-    def still_open(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The buckets with several components: all members, and those outside the main component."""
-        placed = members.select("bucket", "class").join(comps, "class", "left").select("bucket", "class", F.coalesce("comp", "class").alias("comp"))
-        open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        placed = settle(placed.join(open_, "bucket"), "open")
-        counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-        main = counts.groupBy("bucket").agg(F.max_by("comp", "size").alias("main"))
-        return placed, placed.join(main, "bucket")
-
-    placed, tested = members, star
+        for t in tested:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        pairs = pairs.join(named("b", *sketch), "b").join(named("a", *sketch), "a")
+        out = settle(pairs.where(_possible("a", "b", percent)).select("a", "b"), "pairs")
+        tested.append(out)
+        return out
+
+    def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+        """comps (class, comp) after further links; a class without a row is its own component."""
+        of = lambda side: comps.select(F.col("class").alias(side), F.col("comp").alias(f"{side}c"))
+        raised = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")).where("a <> b").distinct()
+        over = components(raised, scratch).toDF("comp", "over")
+        old = comps.join(over, "comp", "left").select("class", F.coalesce("over", "comp").alias("comp"))
+        new = over.select(F.col("comp").alias("class"), F.col("over").alias("comp")).join(comps.select("class"), "class", "left_anti")
+        out = settle(old.union(new), "comps")
+        drop(links, comps)
+        return out
+
+    def still_open(placed: DataFrame, comps: DataFrame) -> DataFrame:
+        """(bucket, class, comp, main) of the buckets with several components; main is the largest of them."""
+        placed = placed.select("bucket", "class").join(comps, "class", "left").select("bucket", "class", F.coalesce("comp", "class").alias("comp"))
+        sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
+        main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        return settle(placed.join(main.drop("comps"), "bucket"), "open")
+
+    links = linked(possible(first.where("class <> hub").select(F.col("class").alias("x"), F.col("hub").alias("y"))))
+    comps = settle(components(links, scratch), "comps")
+    drop(links)
+    placed = members
     for turn in range(TURNS):
-        placed, marked = still_open(placed)
-        pivots = marked.where("comp = main").groupBy("bucket").agg(F.min_by("class", F.xxhash64("class", "bucket", F.lit(turn))).alias("pivot"))
-        apart = marked.where("comp <> main").join(pivots, "bucket")
-        tried = settle(paired(apart.select(F.col("class").alias("x"), F.col("pivot").alias("y"))).join(tested, ["a", "b"], "left_anti"), "tried")
-        new = settle(verify(tried), "new")
-        tested, links = tested.union(tried), links.union(new)
-        if new.isEmpty():
-            break
-        comps = components(links)
-
-    placed, marked = still_open(placed)
-    sized = lambda df: df.join(classes.select("class", "n", "sig"), "class")
-    apart = sized(marked.where("comp <> main").select("bucket", "class", "comp")).toDF("x", "bucket", "xc", "xn", "xs")
-    met = apart.join(sized(placed), "bucket").where((F.col("xc") != F.col("comp")) & _close("xn", "xs", "n", "sig", percent, bands * rows))
-    pairs = met.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
-    more = settle(verify(pairs.join(tested, ["a", "b"], "left_anti")), "more")
-    if not more.isEmpty():
-        comps = components(links.union(more))
-
-    grouped = leads.join(comps, "class", "left").select("class", "lead", F.coalesce("comp", "class").alias("comp"))
+        before, placed = placed, still_open(placed, comps)
+        drop(before)
+        of_main = placed.where("comp = main")
+        if turn == 0:  # what a bucket has in common makes up most of its smallest set
+            of_main = of_main.join(named("class", "n").toDF("class", "n"), "class")
+            pivots = of_main.groupBy("bucket").agg(F.min_by("class", F.struct("n", "class")).alias("pivot"))
+        else:
+            pivots = of_main.groupBy("bucket").agg(F.min_by("class", F.xxhash64("class", "bucket", F.lit(turn))).alias("pivot"))
+        apart = placed.where("comp <> main").join(pivots, "bucket")
+        comps = merged(comps, linked(possible(apart.select(F.col("class").alias("x"), F.col("pivot").alias("y")))))
+
+    before, placed = placed, still_open(placed, comps)
+    drop(before)
+    sketched = lambda df, p: df.join(named(p, *sketch), df["class"] == F.col(p)).drop("class", "main").withColumnRenamed("comp", f"{p}comp")
+    apart = sketched(placed.where("comp <> main"), "x")
+    met = apart.join(sketched(placed, "y"), "bucket").where((F.col("xcomp") != F.col("ycomp")) & _possible("x", "y", percent))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for t in tested:
+        pairs = pairs.join(t, ["a", "b"], "left_anti")
+    comps = merged(comps, linked(settle(pairs, "pairs")))
+
+    leads = known.groupBy("class").agg(F.min("doc_id").alias("lead"))
+    grouped = leads.join(comps, "class").select("class", "lead", "comp")
     names = grouped.groupBy("comp").agg(F.min("lead").alias("component_id"))
-    named = grouped.join(names, "comp").select("class", "component_id")
-    out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+    alone = leads.join(comps, "class", "left_anti").select("class", F.col("lead").alias("component_id"))
+    result = settle(grouped.join(names, "comp").select("class", "component_id").union(alone), "result")
+    scratch.keep(signed, result)
+    out = signed.select("doc_id", "n_shingles", "class").join(result, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+    WITH RECURSIVE
+    w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+    sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+    comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
+    FROM w JOIN comp USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""

@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.OP2_SQL,
+    "op5_near_dedup": neardup.OP5_SQL,
 }

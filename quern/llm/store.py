@@ -9,23 +9,55 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """The session's spark.checkpoint.dir. Unset, it is a temporary folder under a local master, and an error elsewhere."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = where.get() if where.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+class Scratch:
+    """The settled tables of one operator; those no longer needed can be deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.where = f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df as Parquet in the shared folder and read it again."""
+        path = f"{self.where}/{len(self.paths)}-{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            if found := self.paths.pop(id(df), None):
+                self._delete(found[1])
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {id(t) for t in tables}
+        self.drop(*(df for key, (df, _) in list(self.paths.items()) if key not in kept))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df as Parquet in the shared folder and read it again; the folder stays."""
+    return Scratch(df.sparkSession, name).settle(df, name)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

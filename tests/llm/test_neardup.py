@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quern.llm import neardup
+from quern.llm.store import Scratch
 from quern.llm.words import mix
 
 
@@ -14,12 +15,13 @@ def brute(rows):
         w = (text or "").encode().lower().split()
         sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
     group = list(range(len(rows)))
+    find = lambda x: x if group[x] == x else find(group[x])
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if sets[i] and sets[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = group[i], group[j]
-                group = [b if g == a else g for g in group]
+                group[find(i)] = find(j)
+    group = [find(i) for i in range(len(rows))]
     out = []
     for i, (doc, _) in enumerate(rows):
         ids = [d for (d, _), g in zip(rows, group, strict=True) if g == group[i] and d is not None]
@@ -53,8 +55,35 @@ def test_empty_table(make):
     assert neardup.near_duplicates(make((1, "a")).where("false")).count() == 0
 
 
-@pytest.mark.parametrize("single", [0, 10_000])
-def test_components_of_chains_and_stars(spark, single):
+def test_large_near_copy_group_and_chain(make):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(60)]
+    texts = []
+    for _ in range(700):  # copies of one text, each with up to two changes: many aren't links, but all are reachable
+        copy = list(base)
+        for _ in range(r.randint(0, 2)):
+            copy[r.randrange(len(copy))] = word()
+        texts.append(copy)
+    chain = [word() for _ in range(100)]
+    for _ in range(30):  # each is a link to its neighbours only
+        texts.append(list(chain))
+        chain = chain[8:] + [word() for _ in range(8)]
+    passage = [word() for _ in range(50)]
+    texts += [passage + [word() for _ in range(25)] for _ in range(120)]  # a common passage, no links
+    r.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = neardup.near_duplicates(make(*rows)).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == sorted(brute(rows))
+
+
+def test_clashing_columns(make):
+    docs = make((1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x")).selectExpr("*", "1 AS component_id", "2 AS kept", "3 AS n_shingles", "4 AS bands", "5 AS place")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(docs).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (1, 3, True)}
+
+
+def test_components_of_chains_and_stars(spark):
     r = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 120)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)]
     parent = {x: x for p in links for x in p}
@@ -62,9 +91,24 @@ def test_components_of_chains_and_stars(spark, single):
     for a, b in links:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    df = spark.createDataFrame(links, "a long, b long").repartition(5)
-    got = {row["class"]: row["comp"] for row in neardup.components(df, single).collect()}
+    df = spark.createDataFrame([tuple(x.to_bytes(2, "big") for x in p) for p in links], "a binary, b binary").repartition(5)
+    scratch = Scratch(spark, "test")
+    got = {int.from_bytes(row["class"], "big"): int.from_bytes(row["comp"], "big") for row in neardup.components(df, scratch).collect()}
     assert {x: got.get(x, x) for x in parent} == {x: find(x) for x in parent}
+    assert not neardup.components(df.where("false"), scratch).collect()
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 300, 5000])
+def test_parities_never_exceed_the_difference(n):
+    rng = np.random.default_rng(n)
+    a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    for m in {n, max(1, 3 * n // 4), n * 4 // 3}:
+        b = np.unique(np.concatenate([a[: m * 9 // 10], rng.integers(0, 2**63, m - m * 9 // 10).astype(np.uint64)]))
+        (la, xa, ha), (lb, xb, hb) = neardup.parities(a), neardup.parities(b)
+        one, two = (ha if la > lb else xa), (hb if lb > la else xb)
+        assert abs(la - lb) <= 1 and len(one) == len(two) and 64 * len(xa) >= 2 * n
+        differ = sum(bin(int(v) & (2**64 - 1)).count("1") for v in one ^ two)
+        assert differ <= len(np.setxor1d(a, b))
 
 
 def test_signatures_estimate_similarity():

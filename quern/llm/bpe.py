@@ -7,16 +7,17 @@ Method
   with previous/next links. An inverted index maps each token pair, named by the rank
   its merge has, to the positions where it stands. Merges are replayed in
   rank order over the whole corpus; a merge updates only its two neighbours,
-  whose new pairs enter the index. Encoded words are kept and reused by the
+  whose new pairs enter the index. Encoded pieces are kept, up to a bounded number of bytes, and reused by the
   task's later blocks.
 
-  Splitting at single spaces equals splitting the whole text by the pattern
+  Splitting at single spaces equals splitting the whole text by the default pattern
   unless a space stands between two white-space characters, or between one
-  and the end; those texts are split whole.
+  and the end; those texts, and all texts under another pattern, are split whole.
 
 Defined results: a null text is empty and has no ids. Ids are what the
-tiktoken library's encode_ordinary gives. Repeated rows give repeated results;
-columns besides doc_id and text are ignored; a null doc_id stays null.
+tiktoken library's encode_ordinary gives, for texts and single words of any length. Of equal pairs that
+overlap, the left one merges first. Repeated rows give repeated results; an empty table gives no rows;
+columns besides doc_id and text are ignored, whatever their names; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -28,17 +29,19 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.store import read_table
+from quern.llm.store import read_table, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_CHARS = 8_000_000
-#: Encoded words that a task keeps between blocks.
-KEPT_WORDS = 400_000
+BLOCK_CHARS = 2_000_000
+#: Bytes of encoded pieces that a task keeps between blocks, and what one entry takes besides its texts.
+KEPT_BYTES = 48_000_000
+_ENTRY_BYTES = 150
 _WINDOW = 256
 _GLUED = re.compile(r"\s \s|\s \Z")
 
@@ -53,6 +56,7 @@ class Vocabulary:
         for token, r in self.rank.items():
             self.bytes[r] = token
         self.pattern = regex.compile(pattern)
+        self.splits_at_spaces = pattern == public_tokenizers.PATTERN
         self.byte_rank = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, r in self.rank.items():
@@ -187,33 +191,29 @@ def replay(words: list[bytes], v: Vocabulary) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes blocks of texts; keeps what it has learnt about words and pieces."""
+    """Encodes blocks of texts; keeps the pieces it has encoded, up to a bounded number of bytes."""
 
-    def __init__(self, v: Vocabulary, kept: int = KEPT_WORDS):
-        self.v, self.kept = v, kept
-        self.words: dict[str, bytes] = {}
+    def __init__(self, v: Vocabulary, kept_bytes: int = KEPT_BYTES):
+        self.v, self.kept_bytes, self.held = v, kept_bytes, 0
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.kept:
-            self.words = {}
-        if len(self.pieces) > self.kept:
-            self.pieces = {}
-        pieces, words, findall = self.pieces, self.words, self.v.pattern.findall
-        glued = [i for i, t in enumerate(texts) if _GLUED.search(t)]
-        whole = set(glued)
+        if self.held > self.kept_bytes:
+            self.pieces, self.held = {}, 0
+        pieces, findall = self.pieces, self.v.pattern.findall
+        whole = {i for i, t in enumerate(texts) if not self.v.splits_at_spaces or _GLUED.search(t)}
         fresh = {p for i, t in enumerate(texts) if i not in whole for p in t.split(" ")[1:] if p not in pieces}
         fresh = {p: findall(" " + p) for p in fresh}
-        firsts = {i: findall(t if i in whole else t.split(" ", 1)[0]) for i, t in enumerate(texts)}
-        new = [w for w in {w for ws in (*fresh.values(), *firsts.values()) for w in ws} if w not in words]
-        raw = [w.encode() for w in new]
+        firsts = [findall(t if i in whole else t.split(" ", 1)[0]) for i, t in enumerate(texts)]
+        words = dict.fromkeys(w for ws in (*fresh.values(), *firsts) for w in ws)
+        raw = [w.encode() for w in words]
         known = [self.v.rank.get(b) for b in raw]
-        todo = [b for b, r in zip(raw, known, strict=True) if r is None]
-        done = iter(replay(todo, self.v))
-        for w, r in zip(new, known, strict=True):
+        done = iter(replay([b for b, r in zip(raw, known, strict=True) if r is None], self.v))
+        for w, r in zip(words, known, strict=True):
             words[w] = next(done) if r is None else r.to_bytes(4, "little")
         for p, ws in fresh.items():
-            pieces[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+            pieces[p] = ids = b"".join([words[w] for w in ws])
+            self.held += len(p) + len(ids) + _ENTRY_BYTES
         out = []
         for i, t in enumerate(texts):
             front = b"".join([words[w] for w in firsts[i]])
@@ -264,14 +264,12 @@ def byte_bpe(docs: DataFrame, *, path: str | None = None, pattern: str | None =
     path: a rank file; the public multilingual one unless given. It is read on
     the driver and sent to the executors (under a megabyte).
     """
-    import public_tokenizers
-
     spark = docs.sparkSession
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         lines = spark.sparkContext.broadcast(f.read())
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {n} {t}" for n, t in (("ids", "array<int>"), ("decoded", "binary")) if n in outputs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encoded(lines, pattern or public_tokenizers.PATTERN, block_chars, outputs), schema)
+    return rows.mapInArrow(trimmed(_encoded(lines, pattern or public_tokenizers.PATTERN, block_chars, outputs)), schema)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.store import read_table, settle
+from quern.llm.store import read_table, settle, trimmed
 from quern.llm.words import SHINGLE, Words, blocks, shingles
 
 PERCENT = 75
@@ -95,7 +95,7 @@ def _indexes(benchmark: DataFrame, percent: int, k: int, block_shingles: int) ->
     """The items in blocks of bounded size."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     names, sets, held = [], [], 0
-    for item, sh in rows.mapInArrow(_item_sets(k), "item_id long, sh array<long>").toLocalIterator():
+    for item, sh in rows.mapInArrow(trimmed(_item_sets(k)), "item_id long, sh array<long>").toLocalIterator():
         if not sh:
             continue
         names.append(item)
@@ -146,7 +146,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, percent: int = PER
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts, schema = [], "doc_id long, item_id long, n_item long, n_common long"
     for block in _indexes(benchmark, percent, k, block_shingles):
-        found = rows.mapInArrow(_matches(spark.sparkContext.broadcast(block), k), schema)
+        found = rows.mapInArrow(trimmed(_matches(spark.sparkContext.broadcast(block), k)), schema)
         parts.append(settle(found, "contained") if parts or len(block[0]) > block_shingles // 2 else found)
     out = parts[0]
     for part in parts[1:]:
@@ -158,7 +158,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERC
     """The documents that contain no item; all columns stay as they are."""
     spark = docs.sparkSession
     for block in _indexes(benchmark, percent, k, block_shingles):
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(block), k), docs.schema)
+        docs = docs.mapInArrow(trimmed(_clean(spark.sparkContext.broadcast(block), k)), docs.schema)
     return docs
 
 

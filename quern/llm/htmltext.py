@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.store import read_table
+from quern.llm.store import read_table, trimmed
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -234,7 +234,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(trimmed(_extracted), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

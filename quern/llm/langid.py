@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.store import read_table
+from quern.llm.store import read_table, trimmed
 from quern.llm.words import blocks
 
 ROWS_PER_LANG = 300
@@ -127,7 +127,7 @@ def train(docs: DataFrame, *, rows_per_lang: int = ROWS_PER_LANG, landmarks: int
     schema = "doc_id {}, lang string".format(docs.schema["doc_id"].dataType.simpleString())
     picked = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], schema)
     texts = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("text", "lang", order.alias("order"))
-    found = sorted((r["order"], r["lang"], r["bits"]) for r in texts.mapInArrow(_bits, "lang string, order long, bits binary").collect())
+    found = sorted((r["order"], r["lang"], r["bits"]) for r in texts.mapInArrow(trimmed(_bits), "lang string, order long, bits binary").collect())
     bits = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, _, b in found], np.float32).reshape(len(found), 1 << BITS)
     return Model(bits, [lang for _, lang, _ in found], landmarks, ridge)
 
@@ -159,12 +159,12 @@ def _known(model):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row; docs must have held_out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(_predicted(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that have a language, or a letter if nothing was learnt; all columns stay as they are."""
-    return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    return docs.mapInArrow(trimmed(_known(docs.sparkSession.sparkContext.broadcast(model))), docs.schema)
 
 
 def learn_from_folds(docs: DataFrame) -> Model:

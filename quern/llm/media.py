@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.store import read_table
+from quern.llm.store import read_table, trimmed
 
 UNIT = 64
 RATE = 8000
@@ -121,7 +121,7 @@ def media_features(docs: DataFrame, *, with_arrays: bool = True) -> DataFrame:
     """The digest columns of op4 and, if with_arrays, media binary, times and codes array<int>."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_features(with_arrays), schema + (", media binary, times array<int>, codes array<int>" if with_arrays else ""))
+    return rows.mapInArrow(trimmed(_features(with_arrays)), schema + (", media binary, times array<int>, codes array<int>" if with_arrays else ""))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

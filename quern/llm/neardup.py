@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.store import Scratch, read_table
+from quern.llm.store import Scratch, read_table, trimmed
 from quern.llm.words import SHINGLE, Words, blocks, draws, mix, shingles
 
 BANDS, ROWS = 48, 5
@@ -175,7 +175,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Union-find inside partitions first; what is left goes through rounds of neighbour minimum plus
     pointer jump. Labels only ever fall, so a round that changes none is the last. A class without a row is its own component.
     """
-    forest = scratch.settle(links.mapInPandas(_local_union_find, "a binary, b binary"), "forest")
+    forest = scratch.settle(links.mapInPandas(trimmed(_local_union_find), "a binary, b binary"), "forest")
     both = forest.union(forest.select("b", "a"))
     start = both.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("class"), F.least("a", "n").alias("comp"))
     labels = scratch.settle(start, "labels")
@@ -219,19 +219,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
     settle, drop = scratch.settle, scratch.drop
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = settle(docs.mapInArrow(_signatures(bands, rows, k), _SIGNATURE_SCHEMA), "signed")
+    signed = settle(docs.mapInArrow(trimmed(_signatures(bands, rows, k)), _SIGNATURE_SCHEMA), "signed")
     known = signed.where("class is not null")
 
     # (bucket, class) of the classes that share a bucket with another one
     dealt = known.select("class", "bands").dropDuplicates(["class"]).select(F.explode("bands").alias("bucket"), "class")
     shared = dealt.groupBy("bucket").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = settle(shared, "shared")  # as tables, so that both sides of a join are dealt for it alone, and a hot bucket can be split
     members = settle(dealt.join(shared, "bucket"), "members")
     first = members.groupBy("class").agg(F.max_by("hub", F.struct("size", "bucket")).alias("hub"))
     first = settle(first, "first")
 
     wanted = signed.select("doc_id", "class").join(first.select("class"), "class", "left_semi").select(place.alias("place"))
     bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
-    found = docs.select("text", place.alias("place")).mapInArrow(_sets(k, bitmap), _SET_SCHEMA)
+    found = docs.select("text", place.alias("place")).mapInArrow(trimmed(_sets(k, bitmap)), _SET_SCHEMA)
     sets = settle(found.join(first.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
 
     def named(prefix: str, *columns: str) -> DataFrame:
@@ -273,7 +274,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
         placed = placed.select("bucket", "class").join(comps, "class", "left").select("bucket", "class", F.coalesce("comp", "class").alias("comp"))
         sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
         main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        return settle(placed.join(main.drop("comps"), "bucket"), "open")
+        return settle(placed.join(settle(main.drop("comps"), "main"), "bucket"), "open")
 
     links = linked(possible(first.where("class <> hub").select(F.col("class").alias("x"), F.col("hub").alias("y"))))
     comps = settle(components(links, scratch), "comps")
@@ -288,7 +289,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
             pivots = of_main.groupBy("bucket").agg(F.min_by("class", F.struct("n", "class")).alias("pivot"))
         else:
             pivots = of_main.groupBy("bucket").agg(F.min_by("class", F.xxhash64("class", "bucket", F.lit(turn))).alias("pivot"))
-        apart = placed.where("comp <> main").join(pivots, "bucket")
+        apart = placed.where("comp <> main").join(settle(pivots, "pivots"), "bucket")
         comps = merged(comps, linked(possible(apart.select(F.col("class").alias("x"), F.col("pivot").alias("y")))))
 
     before, placed = placed, still_open(placed, comps)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.langid import fold
-from quern.llm.store import read_table, settle
+from quern.llm.store import read_table, settle, trimmed
 from quern.llm.words import Words, blocks
 
 ORDER = 5
@@ -267,16 +267,16 @@ def ppm_scores(docs: DataFrame, frequent: int = FREQUENT, frequent_grams: int =
     sc = docs.sparkSession.sparkContext
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.xxhash64("doc_id", "text").alias("row"))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), (~F.col("held_out")).alias("learn"), F.col("text").cast("string").alias("text"))
-    table = settle(texts.select("learn", "text").mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    table = settle(texts.select("learn", "text").mapInArrow(trimmed(_word_counts), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = ids.where(~F.col("held_out")).count()
     sums = table.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     total, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
     floor = total + 0.5 * (distinct + 1)
 
-    counts = texts.select("learn", "text").mapInArrow(_gram_counts, "gram long, m long, c long").groupBy("gram").agg(F.sum("m").alias("m"), F.sum("c").alias("c"))
+    counts = texts.select("learn", "text").mapInArrow(trimmed(_gram_counts), "gram long, m long, c long").groupBy("gram").agg(F.sum("m").alias("m"), F.sum("c").alias("c"))
     scored = settle(gram_scores(settle(counts, "grams")), "scored")
     shared = sc.broadcast(_frequent_grams(scored, frequent_grams))
-    spelt = texts.select("row", "text").mapInArrow(_gram_sums(shared), "row long, gram long, s double")
+    spelt = texts.select("row", "text").mapInArrow(trimmed(_gram_sums(shared)), "row long, gram long, s double")
     spelt = spelt.join(scored.select("gram", "score"), "gram", "left").groupBy("row").agg(F.sum(F.col("s") + F.coalesce("score", F.lit(0.0))).alias("s"))
 
     # the `frequent` most frequent words are counted where they stand; all others by a join
@@ -284,7 +284,7 @@ def ppm_scores(docs: DataFrame, frequent: int = FREQUENT, frequent_grams: int =
     keys = Words(pa.array([bytes(r["word"]) for r in often], pa.binary())).hashes()
     order, c = np.argsort(keys), np.array([r["c"] for r in often], np.float64)
     shared = sc.broadcast((keys[order], np.log10((c[order] + 0.5) / floor)))
-    parts = texts.select("row", "text").mapInArrow(_frequent(shared), "row long, word binary, n long, k long, b double")
+    parts = texts.select("row", "text").mapInArrow(trimmed(_frequent(shared)), "row long, word binary, n long, k long, b double")
     joined = parts.join(table, "word", "left")
     known = F.coalesce(F.col("c"), F.lit(0)) > 0
     base = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.5) / F.lit(floor))

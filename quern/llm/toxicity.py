@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.langid import fold
-from quern.llm.store import read_table
+from quern.llm.store import read_table, trimmed
 from quern.llm.words import PUNCTUATION, Words, blocks, draws, mix
 
 #: Training rows by label.
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: dict[int, int] = ROWS, **
         chosen += [tuple(r) for r in best.select("doc_id", "toxic", "order").collect()]  # at most limit
     picked = docs.sparkSession.createDataFrame(chosen, "doc_id {}, toxic int, order long".format(labels.schema["doc_id"].dataType.simpleString()))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic", "order")
-    found = texts.mapInArrow(_feature_rows, "order long, toxic int, features binary").collect()
+    found = texts.mapInArrow(trimmed(_feature_rows), "order long, toxic int, features binary").collect()
     found = sorted((r["order"], r["toxic"], r["features"]) for r in found)
     return fit([np.frombuffer(f, "<i4") for _, _, f in found], [t for _, t, _ in found], **options)
 
@@ -137,7 +137,7 @@ def _scored(model):
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row; docs must have held_out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(_scored(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.store import read_table
+from quern.llm.store import read_table, trimmed
 
 #: Host, path, verdict.
 RULES = (
@@ -124,7 +124,7 @@ def judge_urls(pages: DataFrame, model: Model | None = None, rules=RULES) -> Dat
     """(page_id, host, path, rule, verdict, score) for each row."""
     shared = pages.sparkSession.sparkContext.broadcast(model or Model(list(LABELLED)))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    return rows.mapInArrow(_judged(shared, rules), "page_id long, host string, path string, rule string, verdict string, score double")
+    return rows.mapInArrow(trimmed(_judged(shared, rules)), "page_id long, host string, path string, rule string, verdict string, score double")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

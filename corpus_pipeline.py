@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: the one with the smallest doc_id."""
     keep = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,12 +11,17 @@ Method
   scored by one matrix product.
 
 Training takes at most `rows_per_lang` rows of each language, those with the
-smallest hash of their doc_id: a bounded sample, turned into presence bits on
-the executors. Everything else reads whole texts.
+smallest hash of their doc_id, and `MAX_ROWS` in all; beyond `MAX_LANGS` languages the most frequent are
+learnt. The rows come from a hash threshold for each language, so no language is
+gathered or ranked as a whole; they are turned into packed presence bits on
+the executors (2 KB each), and the normal equations are summed over blocks of
+them. Everything else reads whole texts.
 
-Defined results: lang_pred is `und` with score 0 if text is null or has no
+Defined results: lang_pred is `und` with score 0 if text is null, empty or has no
 letter, or if there was nothing to learn from. A null doc_id counts as the
-empty text in the fold rule. Ties go to the alphabetically first language.
+empty text in the fold rule. Repeated rows give repeated results, and count as often in training, within the
+bound. Ties go to the alphabetically first language. Very long texts are scored whole, one presence row each. An empty
+table gives no rows. Columns besides doc_id, text and lang are ignored, or kept as they are by `with_language`.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 from quern.llm.store import read_table, trimmed
 from quern.llm.words import blocks
 
-ROWS_PER_LANG = 300
+ROWS_PER_LANG = 1000
+MAX_ROWS, MAX_LANGS = 60_000, 1000
 LANDMARKS = 256
 RIDGE = 1e-2
 BITS = 14
@@ -74,21 +80,28 @@ def presence(texts: pa.Array) -> np.ndarray:
 class Model:
     """Languages and the matrix that maps normalised presence to one score for each."""
 
-    def __init__(self, bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        """packed: presence bits as np.packbits gives them, a row for each of langs."""
         self.langs = sorted(set(langs))
         self.weights = np.zeros((1 << BITS, len(self.langs)), np.float32)
         if not self.langs:
             return
-        x = bits
-        x /= np.sqrt(np.maximum(1, bits.sum(axis=1, keepdims=True)))
-        pick = np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))
-        marks = x[pick]
+
+        def unit(rows: np.ndarray) -> np.ndarray:
+            x = np.unpackbits(rows, axis=1).astype(np.float32)
+            return x / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+
+        marks = unit(packed[np.unique(np.linspace(0, len(packed) - 1, min(landmarks, len(packed))).astype(int))])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         good = values > 1e-6 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
-        mapped = (x @ marks.T).astype(np.float64) @ whiten
-        target = np.where(np.array(langs)[:, None] == np.array(self.langs), 1.0, -1.0)
-        ridge_weights = np.linalg.solve(mapped.T @ mapped + ridge * len(x) * np.eye(mapped.shape[1]), mapped.T @ target)
+        left, right = np.zeros((good.sum(), good.sum())), np.zeros((good.sum(), len(self.langs)))
+        names = np.array(langs)
+        for a in range(0, len(packed), _ROWS):
+            mapped = (unit(packed[a : a + _ROWS]) @ marks.T).astype(np.float64) @ whiten
+            left += mapped.T @ mapped
+            right += mapped.T @ np.where(names[a : a + _ROWS, None] == np.array(self.langs), 1.0, -1.0)
+        ridge_weights = np.linalg.solve(left + ridge * len(packed) * np.eye(len(left)), right)
         self.weights = (marks.T @ (whiten @ ridge_weights)).astype(np.float32)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -120,16 +133,18 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, *, rows_per_lang: int = ROWS_PER_LANG, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit on rows (doc_id, text, lang) that have a text and a language."""
-    rows = docs.where("text is not null and lang is not null").select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    ranked = rows.select("doc_id", "lang", order.alias("order")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id")))
-    chosen = ranked.where(F.col("rank") <= rows_per_lang).select("doc_id", "lang").distinct().collect()  # rows_per_lang for each language
-    schema = "doc_id {}, lang string".format(docs.schema["doc_id"].dataType.simpleString())
-    picked = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], schema)
-    texts = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("text", "lang", order.alias("order"))
-    found = sorted((r["order"], r["lang"], r["bits"]) for r in texts.mapInArrow(trimmed(_bits), "lang string, order long, bits binary").collect())
-    bits = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, _, b in found], np.float32).reshape(len(found), 1 << BITS)
-    return Model(bits, [lang for _, lang, _ in found], landmarks, ridge)
+    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order")
+    rows = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), order)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("order").alias("ids")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()  # a row for each language
+    each = max(1, min(rows_per_lang, MAX_ROWS // max(1, len(counts))))
+    # each id is in with a chance of 2 * each + 100 in their number; then the first `each` of each language
+    below = [(r["lang"], min(2**63 - 1, int((2 * each + 100) / max(1, r["ids"]) * 2**64) - 2**63)) for r in counts]
+    limits = docs.sparkSession.createDataFrame(below, "lang string, below long")
+    near = rows.join(F.broadcast(limits), "lang").where("order <= below").mapInArrow(trimmed(_bits), "lang string, order long, bits binary")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "bits"))).where(F.col("rank") <= each)
+    found = ranked.select("order", "lang", "bits").toArrow().sort_by([("order", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
+    raw = b"".join(found.column("bits").to_pylist())
+    return Model(np.frombuffer(raw, np.uint8).reshape(found.num_rows, (1 << BITS) // 8), found.column("lang").to_pylist(), landmarks, ridge)
 
 
 def _predicted(model):

@@ -9,13 +9,16 @@ Method
   the L1 strength, so the fitted model is a short sorted list of features and
   weights, which is broadcast; scoring reads whole texts.
 
-Training takes at most `rows[label]` labelled rows of each label, those with
-the smallest hash of their doc_id: a bounded sample. A document's features
+Training takes at most `rows[label]` labelled documents of each label, those with
+the smallest hash of their doc_id, and of these, in the order of the hash, as many as have `MAX_FEATURES`
+features together: a bounded sample. A document's features
 number at most 2^24, whatever its length.
 
 Defined results: empty and null texts get the score of the bias alone. A null
-label trains nothing; of repeated labels the largest counts. A null doc_id
-counts as the empty text in the fold rule and has no label. With nothing to
+label trains nothing; of repeated labels the largest counts, and of rows that
+repeat a doc_id one is learnt from, the same whatever their order. Ties of the hash go by features. A null doc_id
+counts as the empty text in the fold rule and has no label. Very long texts are scored whole. Repeated rows give
+repeated results; an empty table gives no rows; columns besides doc_id and text (and toxic of labels) are ignored, whatever their names. With nothing to
 learn from every score is 0.5 less a hair: predicted is 0.
 """
 
@@ -29,11 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.langid import fold
-from quern.llm.store import read_table, trimmed
+from quern.llm.store import read_table, settle, trimmed
 from quern.llm.words import PUNCTUATION, Words, blocks, draws, mix
 
 #: Training rows by label.
-ROWS = {0: 3500, 1: 1500}
+ROWS = {0: 7000, 1: 3000}
+MAX_FEATURES = 40_000_000
 BITS = 24
 EPOCHS = 6
 STEMS = (4, 5, 6)
@@ -119,9 +123,18 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: dict[int, int] = ROWS, **
         chosen += [tuple(r) for r in best.select("doc_id", "toxic", "order").collect()]  # at most limit
     picked = docs.sparkSession.createDataFrame(chosen, "doc_id {}, toxic int, order long".format(labels.schema["doc_id"].dataType.simpleString()))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic", "order")
-    found = texts.mapInArrow(trimmed(_feature_rows), "order long, toxic int, features binary").collect()
-    found = sorted((r["order"], r["toxic"], r["features"]) for r in found)
-    return fit([np.frombuffer(f, "<i4") for _, _, f in found], [t for _, t, _ in found], **options)
+    made = texts.mapInArrow(trimmed(_feature_rows), "order long, toxic int, features binary")
+    one = F.min(F.struct(F.xxhash64("features").alias("tie"), F.length("features").alias("bytes"), "features")).alias("x")
+    made = settle(made.groupBy("order", "toxic").agg(one).select("order", "toxic", "x.tie", "x.bytes", "x.features"), "features")
+    held, last = 0, None
+    for r in made.select("order", "tie", "bytes").orderBy("order", "tie").collect():  # a row for each chosen document
+        held += r["bytes"] // 4
+        if held > MAX_FEATURES and last is not None:
+            break
+        last = r["order"]
+    found = made.where(F.col("order") <= F.lit(last)).select("order", "tie", "toxic", "features").collect() if last is not None else []
+    found = sorted((r["order"], r["tie"], r["toxic"], r["features"]) for r in found)
+    return fit([np.frombuffer(f, "<i4") for *_, f in found], [t for _, _, t, _ in found], **options)
 
 
 def _scored(model):

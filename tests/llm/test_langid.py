@@ -36,7 +36,7 @@ def test_the_folded_matrix_is_kernel_ridge_regression():
     langs = [lang for _, _, lang in corpus(random.Random(9), 40)]
     bits = langid.presence(pa.array(texts, pa.string())).astype(np.float32)
     x = bits.astype(np.float64) / np.sqrt(bits.sum(axis=1, keepdims=True))
-    model = langid.Model(bits.copy(), langs, landmarks=40, ridge=0.05)
+    model = langid.Model(np.packbits(bits.astype(bool), axis=1), langs, landmarks=40, ridge=0.05)
     target = np.where(np.array(langs)[:, None] == np.array(model.langs), 1.0, -1.0)
     kernel = x @ x.T
     dual = kernel @ np.linalg.solve(kernel + 0.05 * 40 * np.eye(40), target)
@@ -47,3 +47,15 @@ def test_documents_stay_if_there_is_nothing_to_learn_from(make):
     docs = make((1, "kalmor ten", None), (2, "123 !!", None), (3, None, None), (4, "élan", None))
     kept = langid.with_language(docs, langid.learn_from_folds(docs))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and kept.schema == docs.schema
+
+
+def test_many_languages_and_repeated_rows_stay_within_the_bounds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_ROWS", 400)
+    monkeypatch.setattr(langid, "MAX_LANGS", 40)
+    sizes = []
+    model = langid.Model
+    monkeypatch.setattr(langid, "Model", lambda packed, langs, *a: sizes.append((len(packed), len(set(langs)))) or model(packed, langs, *a))
+    docs = spark.range(30_000).selectExpr("CASE WHEN id < 20000 THEN 7 ELSE id END AS doc_id", "concat('word', id % 60, ' and', id % 60) AS text", "concat('l', id % 60) AS lang")
+    learnt = langid.train(docs, rows_per_lang=50)
+    assert sizes[0][0] <= 400 and sizes[0][1] == len(learnt.langs) == 40
+    assert (1 << langid.BITS) // 8 * langid.ROWS_PER_LANG * 60 < 200e6  # bytes of sixty languages on the driver

@@ -1,6 +1,12 @@
+import math
+import random
+import resource
+import statistics
+import time
+
 import pytest
 
-from quern.llm.htmltext import extract, main_text, smoothed_ratios
+from quern.llm.htmltext import clustered, extract, main_text, smoothed_ratios
 
 LONG = "A paragraph that is long enough to count as the content of a page, with several words."
 
@@ -18,8 +24,8 @@ LONG = "A paragraph that is long enough to count as the content of a page, with
         (f"<header><h1>Site</h1></header><main><p>{LONG}</p><form><label>Name</label></form><div class='cookie-notice'>Cookies</div></main>", LONG),
         (f"<body><p>{LONG}</p><p>Unclosed <div>more", f"{LONG}\nUnclosed\nmore"),
         ("<article><p>Only this</article>", "Only this"),
-        (f"<article class='article-header-less readable'><p>{LONG}</p></article>", ""),
-    ][:-1],
+        (f"<article class='article-header-less readable'><p>{LONG}</p></article>", LONG),
+    ],
 )
 def test_main_text(html, want):
     assert main_text(html) == want
@@ -75,3 +81,52 @@ def test_comments_that_are_articles():
 )
 def test_the_region_holds_the_whole_text(html, want):
     assert main_text(html) == "\n".join(want)
+
+
+def test_smoothing_and_threshold_equal_sums_by_hand():
+    r = random.Random(3)
+    for n in (1, 2, 3, 6, 7, 40):
+        lines = [("x" * r.choice((1, 5, 80, 400)), r.randint(0, 6), 0) for _ in range(n)]
+        ratio = [len(t) / max(1, tags) for t, tags, _ in lines]
+        weights = [math.exp(-0.5 * d * d) for d in range(-3, 4)]
+        smooth = [sum(w / sum(weights) * ratio[i + d] for d, w in zip(range(-3, 4), weights, strict=True) if 0 <= i + d < n) for i in range(n)]
+        assert smoothed_ratios(lines) == pytest.approx(smooth)
+        threshold = min(statistics.pstdev(smooth), max(smooth))
+        chosen = [i for i, x in enumerate(smooth) if x >= threshold - 1e-12]
+        assert clustered(lines).tolist() == [i for i in chosen if ratio[i] >= sum(ratio[j] for j in chosen) / len(chosen) / 10]
+
+
+def test_clusters_decide_without_an_article():
+    links = "<a>Home</a><a>News</a><a>Sport</a>"
+    page = f"<div><div>{links}</div><div>{links}</div><div><h2>Head</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div>{links}</div></div>"
+    assert main_text(page) == f"Head\n{LONG}\nShort.\n{LONG}"
+
+
+def test_clusters_overrule_names():
+    text = f"<p>{LONG}</p>" * 4
+    assert main_text(f"<div><div class='sidebar'>{text}</div><div><a>x</a></div></div>") == "\n".join([LONG] * 4)
+    assert main_text(f"<div><div class='sidebar'><p>{LONG}</p></div><div>{text}</div></div>") == "\n".join([LONG] * 4)
+    assert main_text(f"<div><div class='comments'>{text}</div><p>{LONG} alone</p></div>") == f"{LONG} alone"
+    assert main_text(f"<div class='comments'>{text}</div>") == "\n".join([LONG] * 4)
+    assert main_text(f"<div class='ad'>{text}</div><article><p>Short.</p></article>") == "Short."
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<div>a " * 170_000, "<b>" * 150_000 + "<p>x</p>" * 70_000, "<b>" * 150_000 + "</div>" * 100_000, "<i><div>" + "<b>" * 150_000 + "</i>" * 150_000, "<li>a " * 170_000, "<a href=x " * 100_000, "&" * 1_000_000, "<p>" + "word " * 200_000, "<div class='ad'>" * 60_000 + "x"],
+    ids=["div", "inline", "ends", "crossed", "items", "open", "references", "long", "named"],
+)
+def test_megabyte_pages_take_seconds(html):
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    main_text(html)
+    assert time.process_time() - began < 5
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000
+
+
+def test_a_tag_cut_off_by_the_end_is_no_text():
+    assert main_text(f"<p>{LONG} 1 < 2<a href='x") == f"{LONG} 1 < 2"
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", f"<p>{LONG}", "t", 5, "h")], "page_id long, url string, html string, text string, n_chars int, `element` string")
+    assert [tuple(r) for r in extract(pages).collect()] == [(1, "u", LONG, len(LONG))]

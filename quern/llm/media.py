@@ -12,11 +12,12 @@ Method
   arrays. The feature string names their numbers and a digest of both.
 
 One text is worked on at a time, a bounded number of frames at once, so equal
-texts give equal values wherever they stand.
+texts give equal values wherever they stand; rows leave in blocks of about four megabytes of text.
 
-Defined results: a null text is empty, with a payload of 64 zero bytes.
-Repeated rows give repeated results; columns besides doc_id and text are
-ignored; a null doc_id stays null.
+Defined results: a null or empty text has a payload of 64 zero bytes. Very long texts are transformed whole. Of
+equally strong bins of a band the lowest is the peak.
+Repeated rows give repeated results; an empty table gives no rows; columns besides doc_id and text are
+ignored, whatever their names; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.store import read_table, trimmed
+from quern.llm.words import blocks
 
 UNIT = 64
 RATE = 8000
@@ -89,40 +91,34 @@ def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return times[order], codes[order]
 
 
-def _features(with_arrays: bool):
+def _features(outputs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            columns: dict[str, list] = {n: [] for n in names}
-            times, codes, media = [], [], []
+        for batch in (part for whole in batches for part in blocks(whole, "text")):
+            rows = []
             for text in batch.column("text").to_pylist():
                 raw = (text or "").encode()
                 stored = to_wav(raw + b"\0" * (-len(raw) % UNIT or (UNIT if not raw else 0)))
                 payload = from_wav(stored)
                 t, c = fingerprint(payload)
                 digest = hashlib.blake2b(t.astype("<i4").tobytes() + c.astype("<i4").tobytes(), digest_size=16).hexdigest()
-                values = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), f"stft{FRAME}:{len(t)}:{digest}")
-                for name, value in zip(names, values, strict=True):
-                    columns[name].append(value)
-                if with_arrays:
-                    times.append(t)
-                    codes.append(c)
-                    media.append(stored)
-            arrays = [batch.column("doc_id")] + [pa.array(columns[n], pa.string() if n.endswith("sha256") or n == "feature" else pa.int64()) for n in names]
-            if with_arrays:
-                arrays += [pa.array(media, pa.binary()), pa.array(times, pa.list_(pa.int32())), pa.array(codes, pa.list_(pa.int32()))]
-                names = [*names, "media", "times", "codes"]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names])
+                row = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), f"stft{FRAME}:{len(t)}:{digest}")
+                rows.append(row + tuple({"media": stored, "times": t, "codes": c}[n] for n in outputs))
+            kinds = {"media": pa.binary(), "times": pa.list_(pa.int32()), "codes": pa.list_(pa.int32())}
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *outputs]
+            text = ("payload_sha256", "media_sha256", "feature")
+            columns = [pa.array([r[i] for r in rows], kinds.get(n, pa.string() if n in text else pa.int64())) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
 
     return run
 
 
-def media_features(docs: DataFrame, *, with_arrays: bool = True) -> DataFrame:
-    """The digest columns of op4 and, if with_arrays, media binary, times and codes array<int>."""
+def media_features(docs: DataFrame, *, outputs: tuple[str, ...] = ("media", "times", "codes")) -> DataFrame:
+    """The digest columns of op4 and the outputs asked for: media binary; times and codes array<int>, the time-coded fingerprint."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    more = {"media": "binary", "times": "array<int>", "codes": "array<int>"}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(trimmed(_features(with_arrays)), schema + (", media binary, times array<int>, codes array<int>" if with_arrays else ""))
+    return rows.mapInArrow(trimmed(_features(outputs)), schema + "".join(f", {n} {more[n]}" for n in outputs))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(read_table(spark, sf_dir, "documents"), with_arrays=False)
+    return media_features(read_table(spark, sf_dir, "documents"), outputs=("times", "codes"))

@@ -22,9 +22,10 @@ Tokens, known ones and the base score are of words: runs of bytes other than whi
 lower-cased, and one end for each text, counted and joined in the same way.
 The base score is the sum over tokens of log10((c+0.5)/(N+0.5*(V+1))).
 
-Defined results: a null or wordless text is its end alone: one token. A null
-doc_id counts as the empty text in the fold rule. Repeated rows give repeated
-results and count as often. Columns besides doc_id and text are ignored.
+Defined results: a null, empty or wordless text is its end alone as a word: one token. A null
+doc_id counts as the empty text in the fold rule. Very long texts and words are read piece by piece. Repeated rows give repeated
+results and count as often. Ties among frequent grams and words change no score. An empty table gives no rows. Columns besides
+doc_id, text and held_out are ignored, whatever their names.
 Without training rows N and V are 0, and the model is uniform.
 """
 
@@ -47,11 +48,15 @@ ORDER = 5
 SYMBOLS = 257
 END = 256
 _COUNT_BYTES = 4 << 20
+#: Grams are made of so many bytes at a time; longer texts are read piece by piece.
+_GRAM_BYTES = 1 << 20
 #: So many of the most frequent words are broadcast with their counts, and don't take part in the join.
 FREQUENT = 50_000
+#: Longer words are never broadcast.
+_SHORT = 64
 #: At most so many of the most frequent grams are broadcast with their log probabilities.
 FREQUENT_GRAMS = 1 << 19
-_HELD = 1 << 22
+_HELD = 1 << 21
 _TABLE_BITS = 21
 
 
@@ -75,6 +80,26 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code, first
 
 
+def gram_pieces(texts: pa.Array, limit: int = _GRAM_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(whose text it is, gram) of every symbol of these texts, in order, about `limit` symbols at a time."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, a + int(np.searchsorted(np.cumsum(sizes[a:]), limit, "right")))
+        if b > a + 1 or sizes[a] <= limit:
+            code, first = grams(texts.slice(a, b - a))
+            yield np.repeat(np.arange(a, b), np.diff(first)), code
+        else:
+            raw = texts[a].as_py()
+            raw = memoryview(raw.encode() if isinstance(raw, str) else raw)
+            for at in range(0, len(raw), limit):
+                before = min(at, ORDER)  # the symbols that the piece's first ones are predicted from
+                code, _ = grams(pa.array([bytes(raw[at - before : at + limit])], pa.binary()))
+                code = code[before : None if at + limit >= len(raw) else -1]
+                yield np.full(len(code), a), code
+        a = b
+
+
 def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols to be predicted for these texts, the contexts of each by order, and whose text each is."""
     code, first = grams(pa.array(words, pa.binary()))
@@ -139,7 +164,7 @@ def _frequent(shared):
         keys, base = shared.value
         for whole in batches:
             for batch in blocks(whole, "text"):
-                rows, words = np.asarray(batch.column("row")), Words(batch.column("text"))
+                rows, words = batch.column("row"), Words(batch.column("text"))
                 own, names, which = _vocabulary(words)
                 owner = np.repeat(np.arange(len(rows)), np.diff(words.first))
                 at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
@@ -150,11 +175,11 @@ def _frequent(shared):
                 sums = [np.bincount(mine, minlength=n).astype(np.int64), np.bincount(mine, base[place], n)]
                 pairs, count = np.unique(owner[~known] * max(1, len(own)) + which[~known], return_counts=True)
                 rest = pairs // max(1, len(own))
-                mark = pa.array([b" " + r.tobytes() for r in rows], pa.binary())  # no word holds a space, so none is met
+                mark = pc.binary_join_element_wise(pa.array([b" "] * n, pa.binary()), rows, b"")  # no word holds a space, so none is met
                 zeros = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.array(np.zeros(len(pairs)), kind)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([rows, rows[rest]])), pa.concat_arrays([mark, names.take(pa.array(pairs % max(1, len(own))))]),
+                        pa.concat_arrays([rows, rows.take(pa.array(rest))]), pa.concat_arrays([mark, names.take(pa.array(pairs % max(1, len(own))))]),
                         pa.array(np.concatenate([np.zeros(n, np.int64), count])), zeros(sums[0], pa.int64()), zeros(sums[1], pa.float64()),
                     ],
                     ["row", "word", "n", "k", "b"],
@@ -176,10 +201,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = lambda held: pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["gram", "m", "c"])
     held, new, size = np.zeros((3, 0), np.int64), [], 0
     for whole in batches:
-        for batch in blocks(whole, "text", _COUNT_BYTES):
-            code, first = grams(batch.column("text"))
-            learn = np.repeat(np.asarray(batch.column("learn")), np.diff(first))
-            both, n = np.unique(code * 2 + learn, return_counts=True)
+        for owner, code in gram_pieces(whole.column("text")):
+            both, n = np.unique(code * 2 + np.asarray(whole.column("learn"))[owner], return_counts=True)
             new.append(np.stack([both >> 1, n, n * (both & 1)]))
             size += len(both)
             if size >= _HELD // 2:
@@ -240,11 +263,10 @@ def _gram_sums(shared):
         keys, score = shared.value
         slot = np.zeros(1 << _TABLE_BITS, np.int32)
         slot[_hashed(keys)] = np.arange(len(keys))
-        for whole in batches:
-            for batch in blocks(whole, "text"):
-                rows = np.asarray(batch.column("row"))
-                code, first = grams(batch.column("text"))
-                owner = np.repeat(np.arange(len(rows)), np.diff(first))
+        for batch in batches:
+            rows = batch.column("row")
+            apart = -1 - (np.frombuffer(b"".join(rows.to_pylist()), np.int64)[::2] & ((1 << 62) - 1))  # no gram, and not one key for all texts
+            for owner, code in gram_pieces(batch.column("text")):
                 if len(keys):
                     at = slot[_hashed(code)]
                     met = keys[at] == code
@@ -252,12 +274,12 @@ def _gram_sums(shared):
                     found = np.minimum(np.searchsorted(keys, code[rest]), len(keys) - 1)
                     also = keys[found] == code[rest]
                     at[rest[also]], met[rest[also]] = found[also], True
-                    sums = np.bincount(owner[met], score[at[met]], len(rows))
                 else:
-                    met, sums = np.zeros(len(code), bool), np.zeros(len(rows))
-                apart = -1 - (rows & ((1 << 62) - 1))  # no gram, and not one key for all texts
-                columns = [np.concatenate([rows, rows[owner[~met]]]), np.concatenate([apart, code[~met]]), np.concatenate([sums, np.zeros((~met).sum())])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "gram", "s"])
+                    at, met = np.zeros(len(code), np.int32), np.zeros(len(code), bool)
+                mine, own = np.arange(owner[0], owner[-1] + 1), owner[~met]
+                sums = np.bincount(owner[met] - owner[0], score[at[met]], len(mine)) if met.any() else np.zeros(len(mine))
+                columns = [np.concatenate([apart[mine], code[~met]]), np.concatenate([sums, np.zeros(len(own))])]
+                yield pa.RecordBatch.from_arrays([rows.take(pa.array(np.concatenate([mine, own]))), *map(pa.array, columns)], ["row", "gram", "s"])
 
     return run
 
@@ -265,8 +287,9 @@ def _gram_sums(shared):
 def ppm_scores(docs: DataFrame, frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; docs must have held_out."""
     sc = docs.sparkSession.sparkContext
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.xxhash64("doc_id", "text").alias("row"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), (~F.col("held_out")).alias("learn"), F.col("text").cast("string").alias("text"))
+    row = F.concat(*(F.unhex(F.lpad(F.hex(F.xxhash64(*c)), 16, "0")) for c in (("doc_id", "text"), (F.lit(1), "text", "doc_id")))).alias("row")  # 128 bits
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", row)
+    texts = docs.select(row, (~F.col("held_out")).alias("learn"), F.col("text").cast("string").alias("text"))
     table = settle(texts.select("learn", "text").mapInArrow(trimmed(_word_counts), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = ids.where(~F.col("held_out")).count()
     sums = table.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
@@ -276,15 +299,15 @@ def ppm_scores(docs: DataFrame, frequent: int = FREQUENT, frequent_grams: int =
     counts = texts.select("learn", "text").mapInArrow(trimmed(_gram_counts), "gram long, m long, c long").groupBy("gram").agg(F.sum("m").alias("m"), F.sum("c").alias("c"))
     scored = settle(gram_scores(settle(counts, "grams")), "scored")
     shared = sc.broadcast(_frequent_grams(scored, frequent_grams))
-    spelt = texts.select("row", "text").mapInArrow(trimmed(_gram_sums(shared)), "row long, gram long, s double")
+    spelt = texts.select("row", "text").mapInArrow(trimmed(_gram_sums(shared)), "row binary, gram long, s double")
     spelt = spelt.join(scored.select("gram", "score"), "gram", "left").groupBy("row").agg(F.sum(F.col("s") + F.coalesce("score", F.lit(0.0))).alias("s"))
 
     # the `frequent` most frequent words are counted where they stand; all others by a join
-    often = table.where("c > 0").orderBy(F.desc("c"), "word").limit(frequent).collect()
+    often = table.where(f"c > 0 AND length(word) <= {_SHORT}").orderBy(F.desc("c"), "word").limit(frequent).collect()
     keys = Words(pa.array([bytes(r["word"]) for r in often], pa.binary())).hashes()
     order, c = np.argsort(keys), np.array([r["c"] for r in often], np.float64)
     shared = sc.broadcast((keys[order], np.log10((c[order] + 0.5) / floor)))
-    parts = texts.select("row", "text").mapInArrow(trimmed(_frequent(shared)), "row long, word binary, n long, k long, b double")
+    parts = texts.select("row", "text").mapInArrow(trimmed(_frequent(shared)), "row binary, word binary, n long, k long, b double")
     joined = parts.join(table, "word", "left")
     known = F.coalesce(F.col("c"), F.lit(0)) > 0
     base = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.5) / F.lit(floor))

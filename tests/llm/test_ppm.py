@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -64,3 +65,23 @@ def test_grams_are_told_apart():
     code, first = ppm.grams(pa.array(["abcdefg", None, "", "bcdefg"]))
     assert np.diff(first).tolist() == [8, 1, 1, 7] and code[8] == code[9]
     assert code[6] == code[15] and code[5] != code[14]  # five symbols before g alike; before f not
+
+
+def test_pieces_equal_whole_texts():
+    r = random.Random(3)
+    texts = pa.array([None, "", "a", "x" * 50, "".join(r.choice("abé ") for _ in range(333)), "end"], pa.string())
+    code, first = ppm.grams(texts)
+    for limit in (1, 7, 40, 1000):
+        pieces = list(ppm.gram_pieces(texts, limit))
+        assert np.concatenate([c for _, c in pieces]).tolist() == code.tolist()
+        assert np.concatenate([o for o, _ in pieces]).tolist() == np.repeat(np.arange(len(texts)), np.diff(first)).tolist()
+        assert all(len(c) <= 2 * limit + len(texts) for _, c in pieces)
+
+
+def test_unbroken_words_of_megabytes(spark, make):
+    r = random.Random(5)
+    docs = make((1, "".join(r.choices("abcdefgh", k=3_000_000))), (2, "abc " * 10), (3, "x" * 2_000_000)).selectExpr("*", "doc_id = 3 AS held_out", "1 AS `row`", "2 AS gram", "3 AS word")
+    got = {x["doc_id"]: x for x in ppm.ppm_scores(docs).collect()}
+    assert got[1]["n_tokens"] == 2 and got[2]["n_tokens"] == 11 and got[3]["n_known"] == 1
+    # letters drawn evenly from eight cost about log10(8) each
+    assert abs(got[1]["score"] / 3_000_000 + math.log10(8)) < 0.05

@@ -11,13 +11,14 @@ Method
   up in the index, and every candidate is decided by exact containment:
   100 |item and document| >= 75 |item|.
 
-The items of one block (at most `block_shingles` shingles) are broadcast;
-more items than that are searched in further blocks over the same documents.
-
-Defined results: an item or document without words matches nothing. One with
-fewer than five words has its whole word sequence as its only shingle. Repeated
-rows, of items or documents, give repeated results. Columns besides ids and
-text are ignored; null ids stay null.
+The items of one block (at most `block_shingles` shingles and one item more) are broadcast;
+more items than that are searched in further blocks over the same documents, each block's result kept as a table.
+
+Defined results: a null, empty or blank item or document matches nothing. One with
+fewer than five words has its whole word sequence as its only shingle, so such an item is found in documents of exactly those words. Very long
+documents and items are whole sets. Items found at equal containment are all listed. Repeated
+rows, of items or documents, give repeated results. Empty tables give no matches. Columns besides ids and
+text are ignored, or kept as they are by `decontaminated`, whatever their names; null ids stay null.
 """
 
 from __future__ import annotations
@@ -144,13 +145,14 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, percent: int = PER
     """(doc_id, item_id, n_item, n_common, containment): a row for each item that a document contains."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts, schema = [], "doc_id long, item_id long, n_item long, n_common long"
-    for block in _indexes(benchmark, percent, k, block_shingles):
-        found = rows.mapInArrow(trimmed(_matches(spark.sparkContext.broadcast(block), k)), schema)
-        parts.append(settle(found, "contained") if parts or len(block[0]) > block_shingles // 2 else found)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+    schema = "doc_id long, item_id long, n_item long, n_common long"
+    found = lambda block: rows.mapInArrow(trimmed(_matches(spark.sparkContext.broadcast(block), k)), schema)
+    indexes = _indexes(benchmark, percent, k, block_shingles)
+    block, after = next(indexes), next(indexes, None)
+    out = found(block) if after is None else settle(found(block), "contained")
+    while after is not None:
+        out = out.union(settle(found(after), "contained"))
+        after = next(indexes, None)
     return out.withColumn("containment", F.col("n_common") / F.col("n_item"))
 
 

@@ -33,3 +33,26 @@ def test_queries_are_registered():
 
     names = e.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_odd_rows_and_clashing_columns_of_every_stage(spark, make, odd, tmp_path):
+    clashes = "keep_id", "quern_spans", "spans", "known", "runs", "row", "class", "comp", "bands", "place", "held_out", "n_tokens"
+    extra = [f"'{c}' AS `{c}`" for c in clashes if c not in odd.columns]
+    docs = odd.union(make((None, None), (None, "letters here"), (None, "letters here"), (8, "x" * 300_000), (9, "token=abcdefghijkl12 one two"))).selectExpr("*", *extra)
+    spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+        rows = left.collect()
+        assert left.columns == docs.columns and all(r[c] == c for r in rows for c in clashes if c not in odd.columns)
+        seen.append(sorted(str(r["doc_id"]) for r in rows))
+    # null, empty and blank texts go; repeated rows stay together; a null id counts like any other
+    assert seen[0] == sorted(["4", "4", "None", "5", "6", "7", "None", "None", "8", "9"])
+    assert seen[2] == sorted(set(seen[1]) - {"5"}) or "5" not in seen[2]
+    assert corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).count() == len(seen[-1])
+
+
+def test_empty_tables(spark, make, tmp_path):
+    make((1, "a")).where("false").select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

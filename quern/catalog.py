@@ -9,15 +9,18 @@ metadata alone.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column as SparkColumn
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.errors import SqlError
-from quern.types import LogicalType
+from quern.types import LogicalType, parse_type
 
 #: Marks rows that a statement inserted or changed, in the files it wrote.
 HIT = "quern_hit"
@@ -92,15 +95,15 @@ class Table:
         return keys + list(self.uniques) + [(i.name, i.columns) for i in self.indexes if i.unique]
 
     def read(self, spark: SparkSession, files: tuple[str, ...] | None = None, *extra: str) -> DataFrame:
-        """Rows of the table, or of some of its files; extra: HIT, or `file`, the file of each row."""
+        """Rows of the table, or of some of its files; extra: HIT, ORDER, or `file` and `place`, the file of each row and its number there."""
         files = self.files if files is None else files
         fields = [T.StructField(c.stored, c.type.spark) for c in self.columns] + [T.StructField(HIT, T.BooleanType())] * (HIT in extra) + [T.StructField(ORDER, T.LongType())] * (ORDER in extra)
         if not files:
-            out = spark.createDataFrame([], T.StructType(fields + [T.StructField("file", T.StringType())] * ("file" in extra)))
+            out = spark.createDataFrame([], T.StructType(fields + [T.StructField("file", T.StringType())] * ("file" in extra) + [T.StructField("place", T.LongType())] * ("place" in extra)))
         else:
             out = spark.read.schema(T.StructType(fields)).parquet(*files)
             if "file" in extra:
-                out = out.withColumn("file", F.col("_metadata.file_path"))
+                out = out.withColumns({"file": F.col("_metadata.file_path"), "place": F.col("_metadata.row_index")})
         return out.select(*(F.col(c.stored).alias(c.name) for c in self.columns), *extra)
 
 
@@ -112,11 +115,85 @@ class Store:
 
     def write(self, table: Table, rows: DataFrame) -> tuple[str, ...]:
         """rows must have the table's columns by name, and may have HIT and ORDER."""
-        path = f"{self.folder}/{table.schema}.{table.name}/{uuid.uuid4().hex}"
+        path = self._fresh(f"{table.schema}.{table.name}")
         extra = [x for x in (HIT, ORDER) if x in rows.columns]
         rows.select(*(F.col(f"`{c.name}`").cast(c.type.spark).alias(c.stored) for c in table.columns), *extra).write.parquet(path)
         return tuple(sorted(self.spark.read.parquet(path).inputFiles()))
 
+    def _fresh(self, name: str) -> str:
+        return f"{self.folder}/{name}/{uuid.uuid4().hex}"
+
+    def numbered(self, rows: DataFrame, missing: SparkColumn, name: str, take) -> DataFrame:
+        """rows with a number in column `name` where missing says so; take(n) gives the first of n numbers and their step.
+
+        The rows are written first. Numbers then follow from the files and the rows' places in them, so they are the same
+        whenever a task runs again. Only a count for each file comes to the driver.
+        """
+        path = self._fresh("quern_staged")
+        rows.withColumn(name, missing).write.parquet(path)
+        staged = self.spark.read.parquet(path).withColumns({"quern_file": F.col("_metadata.file_path"), "quern_place": F.col("_metadata.row_index")})
+        counts = sorted(map(tuple, staged.where(F.col(name)).groupBy("quern_file").agg(F.count(F.lit(1))).collect()))
+        total = sum(n for _, n in counts)
+        if not total:
+            return staged.drop("quern_file", "quern_place", name).withColumn(name, F.lit(None).cast("long"))
+        first, step = take(total)
+        before, starts = 0, []
+        for file, n in counts:
+            starts.append((file, before))
+            before += n
+        offsets = self.spark.createDataFrame(starts, "quern_file string, quern_before long")
+        within = F.count_if(F.col(name)).over(Window.partitionBy("quern_file").orderBy("quern_place").rowsBetween(Window.unboundedPreceding, 0))
+        placed = staged.withColumn("quern_within", within).join(F.broadcast(offsets), "quern_file", "left")
+        value = F.when(F.col(name), F.lit(first) + (F.col("quern_before") + F.col("quern_within") - 1) * step)
+        return placed.withColumn(name, value.cast("long")).drop("quern_file", "quern_place", "quern_within", "quern_before")
+
+    # -- files -------------------------------------------------------------
+
+    def _place(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def bytes(self, files: tuple[str, ...]) -> int:
+        return sum(fs.getFileStatus(p).getLen() for fs, p in map(self._place, files))
+
+    def remove_unused(self, used: set[str]) -> int:
+        """Delete the folders of writes of which no file is used any more; how many. used: all files of all live snapshots."""
+        plain = lambda path: "/" + re.sub(r"^[a-z]+:/*", "", path).lstrip("/")
+        held = {plain(f).rsplit("/", 1)[0] for f in used}
+        fs, top = self._place(self.folder)
+        gone = 0
+        for table in fs.listStatus(top) if fs.exists(top) else []:
+            if table.isDirectory() and not table.getPath().getName().startswith("_"):
+                for write in fs.listStatus(table.getPath()):
+                    if plain(write.getPath().toString()) not in held:
+                        fs.delete(write.getPath(), True)
+                        gone += 1
+        return gone
+
+    # -- the catalog beside the files --------------------------------------
+
+    def manifest(self) -> tuple[int, dict | None]:
+        """The number and content of the last published catalog; 0 and None if there is none."""
+        fs, folder = self._place(f"{self.folder}/_catalog")
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        numbers = [int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n)]
+        if not numbers:
+            return 0, None
+        lines = self.spark.sparkContext.wholeTextFiles(f"{self.folder}/_catalog/{max(numbers):012d}.json").collect()
+        return max(numbers), json.loads(lines[0][1])
+
+    def publish(self, number: int, content: dict) -> None:
+        """Make content the catalog of this number. Fails if another session published that number first."""
+        part = f"{self.folder}/_catalog/{uuid.uuid4().hex}.part"
+        fs, place = self._place(part)
+        out = fs.create(place, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        goal = self._place(f"{self.folder}/_catalog/{number:012d}.json")[1]
+        if fs.exists(goal) or not fs.rename(place, goal):
+            fs.delete(place, False)
+            raise SqlError("40001", "could not serialize access: another session changed the catalog")
+
 
 class Sequence:
     """A counter that is not part of any transaction."""
@@ -140,3 +217,24 @@ class Sequence:
 def with_table(tables: dict[str, Table], table: Table) -> dict[str, Table]:
     """A snapshot in which this table has its next version."""
     return tables | {table.key: replace(table, version=table.version + 1)}
+
+
+def to_json(table: Table) -> dict:
+    """A table as plain values; types by how they would be declared."""
+    out = asdict(replace(table, columns=()))
+    out["columns"] = [asdict(replace(c, type=None)) | {"type": c.type.sql()} for c in table.columns]
+    return out
+
+
+def from_json(x: dict) -> Table:
+    tuples = lambda rows: tuple((name, tuple(v) if isinstance(v, list) else v) for name, v in rows)
+    parts = {
+        "columns": tuple(Column(**c | {"type": parse_type(c["type"])}) for c in x["columns"]),
+        "checks": tuples(x["checks"]),
+        "uniques": tuples(x["uniques"]),
+        "foreign_keys": tuple(ForeignKey(f["name"], tuple(f["columns"]), f["table"], tuple(f["references"])) for f in x["foreign_keys"]),
+        "indexes": tuple(Index(i["name"], tuple(i["columns"]), i["unique"]) for i in x["indexes"]),
+        "files": tuple(x["files"]),
+        "statistics": tuple(x["statistics"]),
+    }
+    return Table(**x | parts)

@@ -103,7 +103,7 @@ def upsert(
             numbered = kept.unionByName(numbered.where(~_all_set(key)))
         elif not numbered.where(_all_set(key)).groupBy(*(f"`{c}`" for c in key)).agg(F.count(F.lit(1)).alias("quern_n")).where("quern_n > 1").isEmpty():
             raise SqlError("21000", "the statement can't affect a row a second time")
-    old = table.read(spark, None, "file")
+    old = table.read(spark, None, "file", "place")
     names = [c.name for c in table.columns]
     hits = None
     fresh = numbered
@@ -118,7 +118,7 @@ def upsert(
     if assign is None and not replace_all:
         files = store.write(table, fresh)
         made = table.read(spark, files)
-        check(spark, table, made, old.drop("file"), tables)
+        check(spark, table, made, old.drop("file", "place"), tables)
         return Change(replace(table, files=table.files + files), made, made.count())
 
     touched = tuple(r[0] for r in hits.select("o.file").distinct().collect())
@@ -135,11 +135,9 @@ def upsert(
         changed = p
         same = F.struct(*(F.col(f"`{n}`") for n in names)).eqNullSafe(F.struct(*(F.col(f"quern_old.`{n}`").alias(n) for n in names)))
     gone = hits.select(*(F.col(f"o.`{n}`").alias(n) for n in names)).distinct()
-    rest = table.read(spark, _same(table.files, touched))
-    id_match = F.lit(True)
-    for n in names:
-        id_match = id_match & F.col(f"a.`{n}`").eqNullSafe(F.col(f"b.`{n}`"))
-    stay = rest.alias("a").join(gone.alias("b"), id_match, "left_anti").withColumn(HIT, F.lit(False))
+    rest = table.read(spark, _same(table.files, touched), "file", "place")
+    places = hits.select(F.col("o.file").alias("file"), F.col("o.place").alias("place")).distinct()
+    stay = rest.join(places, ["file", "place"], "left_anti").select(*(f"`{n}`" for n in names)).withColumn(HIT, F.lit(False))
     untouched = changed.count(), (changed.where(F.col(HIT) & same).count() if mysql and not replace_all else 0)
     out = stay.unionByName(changed.select(*(f"`{n}`" for n in names), HIT)).unionByName(fresh)
     files = store.write(table, out)
@@ -204,7 +202,7 @@ def update(store: Store, table: Table, assign: dict[str, Column], where: Column
     check(spark, table, fresh, others, tables)
     referred = {r for o in tables.values() for fk in o.foreign_keys if fk.table == table.key for r in fk.references} & set(assign)
     if referred:
-        was = table.read(spark, files).where(fits)
+        was = hits.drop("file")
         for r in referred:
             check_removed(spark, table, was.join(fresh.select(F.col(f"`{r}`").alias("quern_new")), F.col(f"`{r}`") == F.col("quern_new"), "left_anti"), tables)
     return Change(replace(table, files=kept + written), fresh, made_count if mysql else fresh.count())

@@ -1,6 +1,8 @@
 """JSON text functions. Paths are `$`, `.key` and `[n]`.
 
-Extraction stays in the JVM. Containment and mutation of nested documents
+Extraction by one path stays in the JVM: text by get_json_object, JSON by the
+variant functions, whose objects have their members in the order of their names.
+Several paths, containment and mutation of nested documents
 have no built-in and run as Arrow-batched pandas functions.
 """
 
@@ -22,13 +24,9 @@ def json_arrow_text(doc: Column, key: str | int) -> Column:
     return F.get_json_object(doc, f"$[{key}]" if isinstance(key, int) else f"$['{key}']" if not re.fullmatch(r"\w+", key) else f"$.{key}")
 
 
-@F.pandas_udf(T.StringType())
-def _member(docs: pd.Series, paths: pd.Series) -> pd.Series:
-    def one(doc, path):
-        found = _walk(_parsed(doc), _steps(path))
-        return None if found is _MISSING else _dumped(found)
-
-    return pd.Series([one(d, p) for d, p in zip(docs, paths, strict=True)], dtype=object)
+def _member(doc: Column, path: str) -> Column:
+    """The value at a path as JSON."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
 
 
 @F.pandas_udf(T.StringType())
@@ -44,12 +42,12 @@ def _members(docs: pd.Series, paths: pd.Series) -> pd.Series:
 def json_arrow(doc: Column, key: str | int) -> Column:
     """doc -> key: the member or element as JSON."""
     path = key if isinstance(key, str) and key.startswith("$") else f"$[{key}]" if isinstance(key, int) else f"$.{key}"
-    return _member(doc, F.lit(path))
+    return _member(doc, path)
 
 
 def json_extract(doc: Column, *paths: str) -> Column:
     """One path: its value. Several: a JSON array of those found; NULL if none is."""
-    return _member(doc, F.lit(paths[0])) if len(paths) == 1 else _members(doc, F.lit("\n".join(paths)))
+    return _member(doc, paths[0]) if len(paths) == 1 else _members(doc, F.lit("\n".join(paths)))
 
 
 def json_unquote(x: Column) -> Column:
@@ -120,7 +118,7 @@ def _contains(docs: pd.Series, parts: pd.Series) -> pd.Series:
 
 def json_contains(doc: Column, part: Column, path: str | None = None) -> Column:
     """doc @> part."""
-    return _contains(doc if path is None else _member(doc, F.lit(path)), part)
+    return _contains(doc if path is None else _member(doc, path), part)
 
 
 def json_has_key(doc: Column, key: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,34 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, low: str, high:
     return points.withColumn("quern_cell", cell(at)).join(placed, "quern_cell").where(inside).drop("quern_cell")
 
 
+def anti_not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of left whose key is NOT IN right's, with SQL's three values.
+
+    Nothing on the right: every row. A NULL on the right: none. Else rows with a key that has no match. Spark's own plan
+    broadcasts the whole right side for this; here one row of counts is, and the rest is a plain anti join.
+    """
+    counts = right.agg(F.count(F.lit(1)).alias("quern_n"), F.count_if(F.col(right_key).isNull()).alias("quern_nulls"))
+    kept = left.join(right.select(F.col(right_key).alias("quern_key")), F.col(left_key) == F.col("quern_key"), "left_anti")
+    may = (F.col("quern_n") == 0) | (F.col("quern_nulls") == 0) & F.col(left_key).isNotNull()
+    return kept.crossJoin(F.broadcast(counts)).where(may).drop("quern_n", "quern_nulls")
+
+
+def global_ranks(rows: DataFrame, key: str) -> DataFrame:
+    """rows and rank, dense_rank, percent_rank, cume_dist of key over all of them.
+
+    Only the distinct keys with their counts are put in order in one task; rows are joined to them.
+    """
+    counts = rows.groupBy(F.col(key).alias("quern_key")).agg(F.count(F.lit(1)).alias("quern_n"))
+    order = Window.orderBy("quern_key")
+    upto = F.sum("quern_n").over(order)
+    every = F.sum("quern_n").over(Window.partitionBy())
+    before = upto - F.col("quern_n")
+    placed = counts.select(
+        "quern_key", (before + 1).alias("rank"), F.row_number().over(order).cast("long").alias("dense_rank"), F.when(every > 1, before / (every - 1)).otherwise(0.0).alias("percent_rank"), (upto / every).alias("cume_dist")
+    )
+    return rows.join(placed, F.col(key).eqNullSafe(F.col("quern_key"))).drop("quern_key")
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """An equi-join whose hot keys are spread over `salts` partitions: the small side is repeated for each.
 

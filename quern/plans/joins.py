@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators.joins import interval_join
+from quern.operators.joins import anti_not_in, interval_join
 from quern.plans.base import Family, table
 
 _family = Family()
@@ -76,7 +76,7 @@ def join_anti_not_exists(spark, d):
 @_family.add("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)")
 def join_anti_not_in(spark, d):
     p, l = _t(spark, d, "part", "lineitem")  # noqa: E741
-    return spark.sql("SELECT p_partkey FROM {p} WHERE p_partkey NOT IN (SELECT l_partkey FROM {l} WHERE l_quantity > 40 AND l_partkey IS NOT NULL)", p=p, l=l)
+    return anti_not_in(p.select("p_partkey"), l.where("l_quantity > 40"), "p_partkey", "l_partkey")
 
 
 @_family.add("SELECT r_name, n_name FROM region CROSS JOIN nation")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from quern.engine import Engine
@@ -16,8 +14,7 @@ QUERIES, ORACLE_SQL = _family.queries, _family.oracle
 
 def _engine(spark, d, dialect="postgres", **keys):
     """An engine with its own copies of small tables: name=primary key."""
-    folder = spark.conf.get("spark.sql.warehouse.dir", None) or tempfile.mkdtemp(prefix="quern-")
-    engine = Engine(spark, dialect, warehouse=f"{folder.rstrip('/')}/quern")
+    engine = Engine(spark, dialect)
     for name, key in keys.items():
         engine.adopt(name, table(spark, d, name), key)
     return engine

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.operators.joins import global_ranks
 from quern.plans.base import Family, table
 
 _family = Family()
@@ -21,8 +22,8 @@ def win_row_number(spark, d):
 
 @_family.add("SELECT n_nationkey, rank() OVER (ORDER BY n_regionkey) AS r, dense_rank() OVER (ORDER BY n_regionkey) AS dr, round(percent_rank() OVER (ORDER BY n_regionkey), 6) AS pr, round(cume_dist() OVER (ORDER BY n_regionkey), 6) AS cd FROM nation")
 def win_rank_dense(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy("n_regionkey")
-    return table(spark, d, "nation").select("n_nationkey", F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("dr"), F.round(F.percent_rank().over(w), 6).alias("pr"), F.round(F.cume_dist().over(w), 6).alias("cd"))
+    ranked = global_ranks(table(spark, d, "nation"), "n_regionkey")
+    return ranked.select("n_nationkey", F.col("rank").alias("r"), F.col("dense_rank").alias("dr"), F.round("percent_rank", 6).alias("pr"), F.round("cume_dist", 6).alias("cd"))
 
 
 @_family.add("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS running FROM events")

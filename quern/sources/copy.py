@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.dialect import Token, arguments, string_value
@@ -81,20 +82,57 @@ def _escaped(text: str) -> str:
     return {"\\t": "\t", "t": "\t", "\\n": "\n"}.get(text, text)
 
 
+#: What stands for a backslash that escapes the character behind it, once a line has been read from left to right.
+_ESCAPED = "\0"
+_LETTERS = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", "v": "\v"}
+
+
+def _unescaped(field: Column) -> Column:
+    """The value of a field: letters, octal and hex numbers behind escapes; any other escaped character is itself."""
+
+    def part(p: Column, i: Column) -> Column:
+        out = p
+        for letter, meant in _LETTERS.items():
+            out = F.when(p.startswith(letter), F.concat(F.lit(meant), F.substr(p, F.lit(2)))).otherwise(out)
+        for pattern, drop, base in ((r"^[0-7]{1,3}", 0, 8), (r"^x[0-9A-Fa-f]{1,2}", 1, 16)):
+            digits = F.regexp_extract(p, pattern, 0)
+            value = F.char(F.conv(F.substr(digits, F.lit(drop + 1)), base, 10).cast("int"))
+            out = F.when(digits != "", F.concat(value, F.substr(p, F.length(digits) + 1))).otherwise(out)
+        return F.when(i == 0, p).otherwise(out)
+
+    return F.array_join(F.transform(F.split(field, _ESCAPED), part), "")
+
+
+def _before_end(lines: DataFrame) -> DataFrame:
+    """The lines of each file before one that is `\\.`, wherever the file was cut."""
+    at = F.struct(F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("line"))
+    placed = lines.select("value", F.input_file_name().alias("file"), at.alias("at"))
+    ends = placed.where(F.col("value") == "\\.").groupBy("file").agg(F.min("at").alias("end"))
+    if ends.isEmpty():
+        return lines
+    return placed.join(ends, "file", "left").where(F.col("end").isNull() | (F.col("at") < F.col("end"))).select("value")
+
+
 def read_copy(spark: SparkSession, paths: str | list[str], width: int, options: CopyOptions) -> DataFrame:
-    """Rows of `width` text columns; the query fails on a row of another width."""
+    """Rows of `width` text columns; the query fails on a row of another width.
+
+    Files are cut into tasks at line ends. Only csv files in which a line has an odd number of quotes, so that a
+    value may go on in the next line, are read by one task each.
+    """
     csv = options.format == "csv"
     names = [f"v{i}" for i in range(width)]
     reader = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", options.header).option("mode", "FAILFAST").option("enforceSchema", True)
     if csv:
-        reader = reader.option("sep", options.delimiter or ",").option("quote", options.quote).option("escape", options.escape or options.quote).option("nullValue", options.null or "").option("emptyValue", "").option("multiLine", True)
+        quotes = F.length("value") - F.length(F.replace("value", F.lit(options.quote), F.lit("")))
+        across = bool(options.quote) and not spark.read.text(paths).where(quotes % 2 == 1).isEmpty()
+        reader = reader.option("sep", options.delimiter or ",").option("quote", options.quote).option("escape", options.escape or options.quote).option("nullValue", options.null or "").option("emptyValue", "").option("multiLine", across)
         return reader.csv(paths)
     if options.header:
         raise SqlError("0A000", "a header needs the csv format or LOAD DATA")
-    null = "\\N" if options.null is None else options.null
-    lines = spark.read.text(paths).where(F.col("value") != "\\.")
-    fields = F.split("value", "\\Q" + (options.delimiter or "\t") + "\\E")
+    once = lambda text: re.sub(r"(?s)\\(.)", _ESCAPED + r"\1", text)
+    null = once("\\N" if options.null is None else options.null)
+    lines = _before_end(spark.read.text(paths)).select(F.regexp_replace("value", r"(?s)\\(.)", _ESCAPED + "$1").alias("value"))
+    fields = F.split("value", f"(?<!{_ESCAPED})" + re.escape(options.delimiter or "\t"))
     wrong = F.raise_error(F.concat(F.lit("22P04: value out of the domain of a row: "), "value")).cast("array<string>")
     rows = lines.select(F.when(F.size(fields) == width, fields).otherwise(wrong).alias("f"))
-    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
-    return rows.select(*(F.when(F.col("f")[i] != null, text(F.col("f")[i])).alias(n) for i, n in enumerate(names)))
+    return rows.select(*(F.when(F.col("f")[i] != null, _unescaped(F.col("f")[i])).alias(n) for i, n in enumerate(names)))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quern.operators.joins import interval_join, salted_join
+from quern.operators.joins import anti_not_in, interval_join, salted_join
 from quern.streaming import ingest
 
 
@@ -34,3 +34,11 @@ def test_streamed_files_become_rows(spark, tmp_path):
         if name:
             (source / name).write_text(text)
     assert [tuple(r) for r in engine.query("SELECT id, name FROM s ORDER BY id").collect()] == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_not_in_has_three_values(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    for right in ([], [(2,)], [(2,), (None,)], [(None,)]):
+        r = spark.createDataFrame(right, "b int")
+        want = spark.sql("SELECT a FROM {l} WHERE a NOT IN (SELECT b FROM {r})", l=left, r=r)
+        assert sorted(map(str, anti_not_in(left, r, "a", "b").collect())) == sorted(map(str, want.collect()))

@@ -4,8 +4,8 @@ Method
   A text is the run of its UTF-8 bytes, white space included, and one end. Every
   byte and the end is predicted from the `ORDER` symbols before it, across
   words; before a text stand ends. At each order, the longest first, a symbol counted c of n in its
-  context, among t different ones, has probability c / (n + t), and the escape to
-  the next shorter context t / (n + t). Symbols already offered by longer
+  context, among t different ones, has probability (2c - 1) / 2n, and the escape to
+  the next shorter context t / 2n (method D). Symbols already offered by longer
   contexts are excluded from the shorter ones. Below order 0 all symbols left are
   equally likely. The score is the sum of log10 over the whole text.
 
@@ -125,9 +125,9 @@ class Trie:
         for n in range(ORDER, -1, -1):
             left = {s: c for s, c in self.tables[n].get(slots[n], {}).items() if s not in gone}
             if symbol in left:
-                return out + math.log10(left[symbol] / (sum(left.values()) + len(left)))
+                return out + math.log10((2 * left[symbol] - 1) / (2 * sum(left.values())))
             if left:
-                out += math.log10(len(left) / (sum(left.values()) + len(left)))
+                out += math.log10(len(left) / (2 * sum(left.values())))
                 gone |= left.keys()
         return out - math.log10(SYMBOLS - len(gone))
 
@@ -228,13 +228,13 @@ def gram_scores(counts: DataFrame) -> DataFrame:
         met = F.col("c") > 0
         rows = rows.withColumns({"n": F.sum("c").over(context), "t": F.count(F.when(met, 1)).over(context), "x": F.sum(F.when(met, F.col("lc")).otherwise(0)).over(context)})
         # without the symbols that this order offers, the shorter context has ln - x counts of lt - t kinds
-        left = F.col("ln") - F.col("x") + F.col("lt") - F.col("t")
+        left = 2 * (F.col("ln") - F.col("x"))
         escape = F.when(F.col("lt") > F.col("t"), F.log10((F.col("lt") - F.col("t")) / left)).otherwise(0.0)
-        low = F.when(met, 0.0).when(F.col("lc") > 0, F.log10(F.col("lc") / left)).otherwise(escape + F.col("ll"))
+        low = F.when(met, 0.0).when(F.col("lc") > 0, F.log10((2 * F.col("lc") - 1) / left)).otherwise(escape + F.col("ll"))
         below = rows.withColumn("low", low)
-    size = F.col("n") + F.col("t")
+    size = 2 * F.col("n")
     escape = F.when(F.col("t") > 0, F.log10(F.col("t") / size)).otherwise(0.0)
-    return below.select("gram", "m", "c", F.when(met, F.log10(F.col("c") / size)).otherwise(escape + F.col("low")).alias("score"))
+    return below.select("gram", "m", "c", F.when(met, F.log10((2 * F.col("c") - 1) / size)).otherwise(escape + F.col("low")).alias("score"))
 
 
 def _frequent_grams(table: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,14 +10,22 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, low: str, high:
     """Pairs of a point and a span with low <= at < high.
 
     A plain range predicate is a nested loop over both sides. Here time is cut
-    into cells of `width_seconds`; a span is entered in every cell it touches,
-    a point only in its own, and cells are joined by equality. Each pair meets
+    into cells of `width_seconds`, and into cells twice, four times, eight times .. as wide; a span is
+    entered in the cells of the least width that its length doesn't exceed, two at most, and a point
+    in its cell of every width that spans have (at most 64). Cells are joined by equality, and each pair meets
     in exactly one cell. Choose the width near the usual length of a span.
     """
-    cell = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (width_seconds * 1_000_000)).cast("long")
-    placed = spans.where(F.col(low) < F.col(high)).withColumn("quern_cell", F.explode(F.sequence(cell(low), cell(high))))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    base = width_seconds * 1_000_000
+    wide = lambda: F.lit(base).cast("long") * F.expr("shiftleft(1L, quern_level)")
+    length = F.greatest((micros(high) - micros(low)) / base, F.lit(1.0))
+    sized = spans.where(F.col(low) < F.col(high)).withColumn("quern_level", F.ceil(F.log2(length)).cast("int"))
+    levels = sorted(r[0] for r in sized.select("quern_level").distinct().collect())  # a number for each width
+    cell = lambda c: F.floor(micros(c) / wide()).cast("long")
+    placed = sized.withColumn("quern_cell", F.explode(F.sequence(cell(low), cell(high))))
+    spread = points.withColumn("quern_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("quern_cell", cell(at))
     inside = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
-    return points.withColumn("quern_cell", cell(at)).join(placed, "quern_cell").where(inside).drop("quern_cell")
+    return spread.join(placed, ["quern_level", "quern_cell"]).where(inside).drop("quern_level", "quern_cell")
 
 
 def anti_not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators.joins import anti_not_in, interval_join
+from quern.operators.joins import anti_not_in, interval_join, salted_join
 from quern.plans.base import Family, table
 
 _family = Family()
@@ -43,14 +43,8 @@ def join_right(spark, d):
     return o.where("o_totalprice > 200000").join(c, o.o_custkey == c.c_custkey, "right").select("o_orderkey", "c_custkey")
 
 
-@_family.add("SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 50) s FULL JOIN (SELECT * FROM customer WHERE c_custkey > 20 AND c_custkey < 90) c ON s_suppkey = c_custkey")
-def join_full(spark, d):
-    s, c = _t(spark, d, "supplier", "customer")
-    return s.where("s_suppkey < 50").join(c.where("c_custkey > 20 AND c_custkey < 90"), s.s_suppkey == c.c_custkey, "full").select("s_suppkey", "c_custkey")
-
-
 @_family.add("SELECT s_suppkey, s_name, c_custkey, c_name FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
-def join_full_tables(spark, d):
+def join_full(spark, d):
     s, c = _t(spark, d, "supplier", "customer")
     return s.join(c, s.s_suppkey == c.c_custkey, "full").select("s_suppkey", "s_name", "c_custkey", "c_name")
 
@@ -136,3 +130,17 @@ def join_lateral(spark, d):
 def join_self(spark, d):
     a, b = table(spark, d, "nation").alias("a"), table(spark, d, "nation").alias("b")
     return a.join(b, F.expr("a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")).selectExpr("a.n_name AS x", "b.n_name AS y")
+
+
+@_family.add("SELECT o_orderpriority, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
+def join_salted(spark, d):
+    o, l = _t(spark, d, "orders", "lineitem")  # noqa: E741
+    both = salted_join(l.select(F.col("l_orderkey").alias("key"), "l_quantity", "l_linenumber"), o.select(F.col("o_orderkey").alias("key"), "o_orderpriority"), "key", salts=4)
+    return both.groupBy("o_orderpriority").agg(_n(), F.sum("l_quantity").alias("quantity"))
+
+
+@_family.add("SELECT e.event_id, count(*) AS n FROM events e JOIN (SELECT ts AS low, ts + event_id % 500 * INTERVAL 1 MINUTE AS high FROM events) ON e.ts >= low AND e.ts < high GROUP BY e.event_id")
+def join_range_mixed_lengths(spark, d):
+    e = table(spark, d, "events")
+    spans = e.select(F.col("ts").alias("low"), F.expr("ts + make_dt_interval(0, 0, CAST(event_id % 500 AS INT), 0)").alias("high"))
+    return interval_join(e.select("event_id", "ts"), spans, "ts", "low", "high", 600).groupBy("event_id").agg(_n())

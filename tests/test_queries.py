@@ -52,6 +52,6 @@ def test_entry_point_works_without_the_training_data_operators(spark):
 def test_joins_divisions_and_casts_run_over_whole_tables(spark, sf_dir):
     count = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count()
     run = lambda name: plans.QUERIES[name](spark, sf_dir)
-    full = run("join_full_tables")
+    full = run("join_full")
     assert full.where("s_suppkey IS NOT NULL").count() == count("supplier") and full.where("c_custkey IS NOT NULL").count() == count("customer")
-    assert run("fn_int_division_signed").count() == count("orders") and run("pred_cast_events").count() == count("events")
+    assert run("fn_int_division").count() == count("orders") and run("pred_cast").count() == count("events")

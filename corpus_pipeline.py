@@ -1,7 +1,11 @@
 """A corpus pipeline over documents: each stage is one operator of quern.llm, written as Parquet and reread.
 
 Every stage works on all rows that the stage before it kept, and all but the
-last return the columns of documents. Repeated rows of a document stay or go together.
+last return the columns of documents, extra ones too, whatever their names.
+
+Defined results: null texts, empty ones and texts without a letter go in the first stage. Repeated rows of a document stay or go together. A null
+doc_id counts like any other id; near-duplicate groups keep the smallest id that isn't null, and all its rows (a group without one keeps the null).
+Very long texts are worked on whole. Of equal texts the smallest doc_id stays; nothing else depends on ties. Empty tables give an empty result. A null n_chars stays null.
 """
 
 from __future__ import annotations

@@ -237,16 +237,22 @@ def gram_scores(counts: DataFrame) -> DataFrame:
     return below.select("gram", "m", "c", F.when(met, F.log10((2 * F.col("c") - 1) / size)).otherwise(escape + F.col("low")).alias("score"))
 
 
-def _frequent_grams(table: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grams above a count that at most `limit` grams reach, sorted, and their scores."""
-    sizes = table.groupBy(F.floor(F.log2("m") * 16).alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect()  # at most 1024 rows
+def _often(table: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows above a count that at most `limit` rows reach; no task gives more of them than there are."""
+    size = F.floor(F.log2(count) * 16)
+    sizes = sorted(map(tuple, table.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # at most 1024 rows
     least, held = 1024, 0
-    for r in sizes:
-        held += r["n"]
+    for reached, n in sizes:
+        held += n
         if held > limit:
             break
-        least = r["size"]
-    often = table.where(F.floor(F.log2("m") * 16) >= least).select("gram", "score").toArrow()
+        least = reached
+    return table.where(size >= least)
+
+
+def _frequent_grams(table: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent grams, at most `limit`, sorted, and their scores."""
+    often = _often(table, "m", limit).select("gram", "score").toArrow()
     gram, score = (np.asarray(often.column(i).combine_chunks()) for i in range(2))
     order = np.argsort(gram)
     return gram[order], score[order]
@@ -302,8 +308,8 @@ def ppm_scores(docs: DataFrame, frequent: int = FREQUENT, frequent_grams: int =
     spelt = texts.select("row", "text").mapInArrow(trimmed(_gram_sums(shared)), "row binary, gram long, s double")
     spelt = spelt.join(scored.select("gram", "score"), "gram", "left").groupBy("row").agg(F.sum(F.col("s") + F.coalesce("score", F.lit(0.0))).alias("s"))
 
-    # the `frequent` most frequent words are counted where they stand; all others by a join
-    often = table.where(f"c > 0 AND length(word) <= {_SHORT}").orderBy(F.desc("c"), "word").limit(frequent).collect()
+    # the most frequent words, at most `frequent`, are counted where they stand; all others by a join
+    often = _often(table.where(f"c > 0 AND length(word) <= {_SHORT}"), "c", frequent).collect()
     keys = Words(pa.array([bytes(r["word"]) for r in often], pa.binary())).hashes()
     order, c = np.argsort(keys), np.array([r["c"] for r in often], np.float64)
     shared = sc.broadcast((keys[order], np.log10((c[order] + 0.5) / floor)))

@@ -117,9 +117,11 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: dict[int, int] = ROWS, **
     """Fit on the documents that labels (doc_id, toxic) marks; options are those of `fit`."""
     order = F.xxhash64(F.col("doc_id").cast("string"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = []
+    chosen, counts = [], dict(map(tuple, known.groupBy("toxic").agg(F.count(F.lit(1))).where(F.col("toxic").isin(list(rows))).collect()))
     for label, limit in rows.items():
-        best = known.where(F.col("toxic") == label).withColumn("order", order).orderBy("order", "doc_id").limit(limit)
+        # each id is in with a chance of 2 * limit + 100 in their number, so that tasks give few to choose from
+        below = min(2**63 - 1, int((2 * limit + 100) / max(1, counts.get(label, 0)) * 2**64) - 2**63)
+        best = known.where(F.col("toxic") == label).withColumn("order", order).where(F.col("order") <= below).orderBy("order", "doc_id").limit(limit)
         chosen += [tuple(r) for r in best.select("doc_id", "toxic", "order").collect()]  # at most limit
     picked = docs.sparkSession.createDataFrame(chosen, "doc_id {}, toxic int, order long".format(labels.schema["doc_id"].dataType.simpleString()))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic", "order")

@@ -36,8 +36,8 @@ from quern.llm.store import read_table, settle, trimmed
 from quern.llm.words import PUNCTUATION, Words, blocks, draws, mix
 
 #: Training rows by label.
-ROWS = {0: 7000, 1: 3000}
-MAX_FEATURES = 40_000_000
+ROWS = {0: 3500, 1: 1500}
+MAX_FEATURES = 20_000_000
 BITS = 24
 EPOCHS = 6
 STEMS = (4, 5, 6)
@@ -134,9 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: dict[int, int] = ROWS, **
         if held > MAX_FEATURES and last is not None:
             break
         last = r["order"]
-    found = made.where(F.col("order") <= F.lit(last)).select("order", "tie", "toxic", "features").collect() if last is not None else []
-    found = sorted((r["order"], r["tie"], r["toxic"], r["features"]) for r in found)
-    return fit([np.frombuffer(f, "<i4") for *_, f in found], [t for _, _, t, _ in found], **options)
+    if last is None:
+        return fit([], [], **options)
+    found = made.where(F.col("order") <= F.lit(last)).select("order", "tie", "toxic", "features").toArrow().sort_by([("order", "ascending"), ("tie", "ascending"), ("toxic", "ascending")])
+    return fit([np.frombuffer(f.as_buffer(), "<i4") for f in found.column("features")], found.column("toxic").to_pylist(), **options)
 
 
 def _scored(model):

@@ -41,6 +41,7 @@ MAX_FEATURES = 20_000_000
 BITS = 24
 EPOCHS = 6
 STEMS = (4, 5, 6)
+_BLOCK_BYTES = 1 << 20
 _PAIR = draws(4, 31)
 
 
@@ -105,7 +106,7 @@ def fit(rows: list[np.ndarray], labels: list[int], *, alpha: float = 1.0, beta:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in blocks(whole, "text"):
+        for batch in blocks(whole, "text", _BLOCK_BYTES):
             row, key = features(batch.column("text"))
             pairs = np.unique(row.astype(np.int64) << BITS | key)
             cuts = np.searchsorted(pairs >> BITS, np.arange(batch.num_rows + 1))
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: dict[int, int] = ROWS, **
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole, "text"):
+            for batch in blocks(whole, "text", _BLOCK_BYTES):
                 score = model.value.score(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array(score >= 0.5, pa.bool_()).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 

@@ -10,6 +10,7 @@ from quern.engine import Engine, warehouse_folder
 from quern.errors import SqlError
 from quern.plans.base import Family, table
 from quern.plans.statements import _engine
+from quern.streaming import ingest
 
 _family = Family()
 QUERIES, ORACLE_SQL = _family.queries, _family.oracle
@@ -283,6 +284,18 @@ def load_data(spark, d):
     return e.query("SELECT id, name, size FROM t")
 
 
+@_family.add("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer")
+def stream_ingest(spark, d):
+    """A followed folder of delimited files, two files a batch; run a second time it adds nothing."""
+    folder, checkpoint = _folder(spark), _folder(spark)
+    table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("string")).repartition(5).write.csv(folder)
+    e = _engine(spark, d)
+    e.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, name TEXT, balance DOUBLE PRECISION)")
+    for _ in range(2):
+        ingest(e, "t", folder, checkpoint, max_files=2).awaitTermination()
+    return e.query("SELECT id, name, balance FROM t")
+
+
 @_family.add("SELECT 'json' AS format, n_nationkey, n_name FROM nation UNION ALL SELECT 'orc', n_nationkey, n_name FROM nation UNION ALL SELECT 'parquet', n_nationkey, n_name FROM nation")
 def scan_file_formats(spark, d):
     out = None

@@ -31,6 +31,7 @@ def ingest(engine: Engine, name: str, folder: str, checkpoint: str, *, delimiter
         keys = [k for _, k in now.unique_keys()][:1]
         change = dml.upsert(engine.store, now, rows, dict(engine.tables), keys, None) if keys else dml.insert(engine.store, now, rows, dict(engine.tables))
         engine.put(change.table)
+        engine._publish()
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

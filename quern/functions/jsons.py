@@ -2,8 +2,8 @@
 
 Extraction by one path stays in the JVM: text by get_json_object, JSON by the
 variant functions, whose objects have their members in the order of their names.
-Several paths, containment and mutation of nested documents
-have no built-in and run as Arrow-batched pandas functions.
+Objects, arrays and keys are built-ins too. Several paths, containment and mutation of nested documents
+have none and run as Arrow-batched pandas functions, which SQL text calls by name (`sql_functions`).
 """
 
 from __future__ import annotations
@@ -31,14 +31,30 @@ def _member(doc: Column, path: str) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _members(docs: pd.Series, paths: pd.Series) -> pd.Series:
+    """The values at several paths, one a line, as a JSON array of those found."""
+
     def one(doc, several):
         doc = _parsed(doc)
-        found = [x for p in several.split("\n") if (x := _MISSING if doc is _MISSING else _walk(doc, _steps(p))) is not _MISSING]
+        if doc is _MISSING or several is None:
+            return None
+        found = [x for p in several.split("\n") if (x := _walk(doc, _steps(p))) is not _MISSING]
         return _dumped(found) if found else None
 
     return pd.Series([one(d, p) for d, p in zip(docs, paths, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def _at(docs: pd.Series, paths: pd.Series) -> pd.Series:
+    """The value at a path that differs from row to row."""
+
+    def one(doc, path):
+        doc = _parsed(doc)
+        found = _MISSING if doc is _MISSING or path is None else _walk(doc, _steps(path))
+        return None if found is _MISSING else _dumped(found)
+
+    return pd.Series([one(d, p) for d, p in zip(docs, paths, strict=True)], dtype=object)
+
+
 def json_arrow(doc: Column, key: str | int) -> Column:
     """doc -> key: the member or element as JSON."""
     path = key if isinstance(key, str) and key.startswith("$") else f"$[{key}]" if isinstance(key, int) else f"$.{key}"
@@ -52,7 +68,7 @@ def json_extract(doc: Column, *paths: str) -> Column:
 
 def json_unquote(x: Column) -> Column:
     """A JSON string without its quotes; other text stays."""
-    return F.when(x.rlike(r'^".*"$'), F.get_json_object(x, "$")).otherwise(x)
+    return F.when(x.rlike(r'(?s)^".*"$'), F.coalesce(F.get_json_object(x, "$"), x)).otherwise(x)
 
 
 def json_object(*pairs) -> Column:
@@ -62,8 +78,13 @@ def json_object(*pairs) -> Column:
 
 def json_array(*items: Column) -> Column:
     """A JSON array; every item keeps its own type."""
-    each = [F.coalesce(F.regexp_extract(F.to_json(F.struct(i.alias("v")), {"ignoreNullFields": "false"}), r"^\{\"v\":(.*)\}$", 1), F.lit("null")) for i in items]
-    return F.concat(F.lit("["), F.concat_ws(",", *each), F.lit("]"))
+    return F.concat(F.lit("["), F.concat_ws(",", *map(_encoded, items)), F.lit("]"))
+
+
+def _encoded(value: Column) -> Column:
+    """A value as JSON text; NULL is null."""
+    whole = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
 
 
 class _MISSING:
@@ -122,8 +143,10 @@ def json_contains(doc: Column, part: Column, path: str | None = None) -> Column:
 
 
 def json_has_key(doc: Column, key: str) -> Column:
-    """doc ? key: a member of an object, or a string element of an array."""
-    return F.coalesce(F.array_contains(F.json_object_keys(doc), key), F.array_contains(F.from_json(doc, "array<string>"), key))
+    """doc ? key: a member of an object, a string element of an array, or the string itself."""
+    value = F.try_parse_json(doc)
+    is_key = lambda x: (F.schema_of_variant(x) == "STRING") & (F.try_variant_get(x, "$", "string") == key)
+    return F.when(value.isNotNull(), F.coalesce(F.array_contains(F.json_object_keys(doc), key), F.exists(F.try_variant_get(value, "$", "array<variant>"), is_key), is_key(value)))
 
 
 def _changer(change):
@@ -165,81 +188,21 @@ def _remove(around, step, _):
         del around[step]
 
 
-def _encoded(value: Column) -> Column:
-    return F.regexp_extract(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), r"^\{\"v\":(.*)\}$", 1)
+_setter, _replacer, _remover = _changer(_set), _changer(_replace), _changer(_remove)
 
 
 def json_set(doc: Column, path: str, value: Column) -> Column:
-    return _changer(_set)(doc, F.lit(path), _encoded(value))
+    return _setter(doc, F.lit(path), _encoded(value))
 
 
 def json_replace(doc: Column, path: str, value: Column) -> Column:
-    return _changer(_replace)(doc, F.lit(path), _encoded(value))
+    return _replacer(doc, F.lit(path), _encoded(value))
 
 
 def json_remove(doc: Column, path: str) -> Column:
-    return _changer(_remove)(doc, F.lit(path), F.lit("null"))
+    return _remover(doc, F.lit(path), F.lit("null"))
 
 
 def sql_functions() -> dict:
-    """The functions that SQL text calls by name, as pandas functions over columns."""
-
-    def over(kind: T.DataType, f):
-        @F.pandas_udf(kind)
-        def one(a: pd.Series) -> pd.Series:
-            return pd.Series([f(x) for x in a], dtype=object)
-
-        @F.pandas_udf(kind)
-        def two(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([f(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
-
-        @F.pandas_udf(kind)
-        def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-            return pd.Series([f(x, y, z) for x, y, z in zip(a, b, c, strict=True)], dtype=object)
-
-        return (one, two, three)[f.__code__.co_argcount - 1]
-
-    def get(doc, path):
-        found = _walk(_parsed(doc), _steps(path))
-        return None if found is _MISSING else _dumped(found)
-
-    def get_all(doc, paths):
-        parsed = _parsed(doc)
-        found = [x for p in paths if (x := _walk(parsed, _steps(p))) is not _MISSING]
-        return _dumped(found) if found else None
-
-    def has_key(doc, key):
-        parsed = _parsed(doc)
-        return None if parsed is _MISSING else key in parsed if isinstance(parsed, (dict, list)) else parsed == key
-
-    def held(doc, part):
-        doc, part = _parsed(doc), _parsed(part)
-        return None if doc is _MISSING or part is _MISSING else contains(doc, part)
-
-    def unquote(x):
-        value = _parsed(x) if isinstance(x, str) and x.startswith('"') else x
-        return x if value is _MISSING else value
-
-    def changer(change):
-        def run(doc, path, value):
-            parsed, steps = _parsed(doc), _steps(path)
-            if parsed is _MISSING:
-                return None
-            around = _walk(parsed, steps[:-1]) if steps else _MISSING
-            if around is not _MISSING:
-                change(around, steps[-1], None if value is None else json.loads(value).get("v"))
-            return _dumped(parsed)
-
-        return run
-
-    def make_object(names, values):
-        return _dumped({str(n): json.loads(v).get("v") for n, v in zip(names, values, strict=True)})
-
-    def make_array(values):
-        return _dumped([json.loads(v).get("v") for v in values])
-
-    text, truth = T.StringType(), T.BooleanType()
-    return {
-        "quern_json_get": over(text, get), "quern_json_get_all": over(text, get_all), "quern_json_has_key": over(truth, has_key), "quern_json_contains": over(truth, held), "quern_json_unquote": over(text, unquote),
-        "quern_json_set": over(text, changer(_set)), "quern_json_replace": over(text, changer(_replace)), "quern_json_remove": over(text, changer(_remove)), "quern_json_object": over(text, make_object), "quern_json_array": over(text, make_array),
-    }
+    """The functions that SQL text calls by name: the same ones that the Columns above use."""
+    return {"quern_json_get": _at, "quern_json_get_all": _members, "quern_json_contains": _contains, "quern_json_set": _setter, "quern_json_replace": _replacer, "quern_json_remove": _remover}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.engine import Engine, warehouse_folder
 from quern.errors import SqlError
+from quern.plans import scalars
 from quern.plans.base import Family, table
 from quern.plans.statements import _engine
 from quern.streaming import ingest
@@ -364,6 +365,51 @@ _text("text_postgres", "postgres", """
     SELECT n_nationkey, n_name AS a, coalesce(NULLIF(n_name, 'CHINA'), 'none') AS b, n_name LIKE 'C%' AS c, n_regionkey IN (1, 2) AS d, CAST(instr(n_name, 'A') AS INT) AS e, 'a-b' AS f, CASE WHEN n_regionkey <> 1 THEN 1 ELSE 0 END AS g FROM nation
 """)
 
+#: The queries of functions and JSON again as SQL text: what they give as Columns, the engine gives for text.
+_SAME = {
+    "fn_lower_upper_length": "SELECT c_custkey, lower(c_name) AS lo, upper(c_mktsegment) AS up, CAST(length(c_name) AS BIGINT) AS n FROM customer",
+    "fn_substring_trim": "SELECT p_partkey, substring(p_name, -2, 4) AS a, substring(p_name FROM 3 FOR 5) AS b, trim(concat('  ', p_brand, ' ')) AS t, trim(BOTH 'B' FROM p_brand) AS x FROM part",
+    "fn_replace": "SELECT p_partkey, replace(p_type, 'E', '-e-') AS r FROM part",
+    "fn_concat_nullskip": "SELECT c_custkey, concat(c_name, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE '-' END, c_nationkey) AS r FROM customer",
+    "fn_concat_ws": "SELECT c_custkey, concat_ws('/', c_name, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'odd' END, c_mktsegment) AS r FROM customer",
+    "fn_substring_index": "SELECT p_partkey, substring_index(p_type, ' ', 2) AS a, substring_index(p_type, ' ', -1) AS b FROM part",
+    "fn_locate_instr": "SELECT p_partkey, CAST(instr(p_name, 'e') AS BIGINT) AS a, CAST(locate('e', p_name, 4) AS BIGINT) AS b FROM part",
+    "fn_field_elt": "SELECT c_custkey, CAST(field(c_mktsegment, 'BUILDING', 'MACHINERY') AS BIGINT) AS f, elt(c_nationkey, 'one', 'two', 'three') AS e FROM customer",
+    "fn_find_in_set": "SELECT c_custkey, CAST(find_in_set(c_mktsegment, 'AUTOMOBILE,BUILDING') AS BIGINT) AS p FROM customer",
+    "fn_format": "SELECT p_partkey, format(p_retailprice, 3) AS f FROM part",
+    "fn_regexp_replace": "SELECT p_partkey, regexp_replace(p_name, 'a', 'o') AS r, p_name REGEXP '^.*e' AS m FROM part",
+    "fn_library_strings": "SELECT p_partkey, left(p_name, 3) AS a, right(p_name, 2) AS b, reverse(p_name) AS c, lpad(p_name, 20, '*') AS d, repeat('x', p_size) AS e, md5(p_name) AS f, split_part(p_type, ' ', 2) AS g FROM part",
+    "fn_date_trunc": "SELECT event_id, CAST(date_trunc('year', ts) AS DATETIME) AS y, CAST(date_trunc('month', ts) AS DATETIME) AS m, CAST(date_trunc('hour', ts) AS DATETIME) AS h FROM events",
+    "fn_extract": "SELECT event_id, " + ", ".join(f"CAST(extract({u} FROM ts) AS BIGINT) AS {n}" for u, n in (("year", "y"), ("month", "m"), ("day", "dd"), ("hour", "h"), ("minute", "mi"), ("second", "s"))) + " FROM events",
+    "fn_date_add_sub": "SELECT o_orderkey, date_add(o_orderdate, INTERVAL 1 MONTH) AS m, date_sub(o_orderdate, INTERVAL 10 DAY) AS dd, date_add(o_orderdate, INTERVAL 2 WEEK) AS w FROM orders",
+    "fn_timestampadd": "SELECT o_orderkey, timestampadd(HOUR, 3, o_orderdate) AS h, date_add(o_orderdate, INTERVAL 2 YEAR) AS y FROM orders",
+    "fn_timestampdiff": "SELECT l_orderkey, l_linenumber, timestampdiff(MONTH, o_orderdate, l_shipdate) AS m, timestampdiff(DAY, o_orderdate, l_shipdate) AS dd, timestampdiff(WEEK, o_orderdate, l_shipdate) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate",
+    "fn_date_format": "SELECT event_id, date_format(ts, '%Y/%m/%d %H-%i-%s') AS f FROM events",
+    "fn_str_to_date": "SELECT event_id, str_to_date(date_format(ts, '%d.%m.%Y %H:%i:%s'), '%d.%m.%Y %H:%i:%s') AS back FROM events",
+    "fn_unix_timestamp": "SELECT event_id, unix_timestamp(ts) AS u FROM events",
+    "fn_from_unixtime": "SELECT event_id, from_unixtime((event_id - 50) * 86399) AS t FROM events",
+    "fn_last_day": "SELECT o_orderkey, last_day(o_orderdate) AS l FROM orders",
+    "fn_week": "SELECT o_orderkey, CAST(week(o_orderdate) AS BIGINT) AS w FROM orders",
+    "fn_abs_round_ceil_floor": "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal) AS r, ceil(c_acctbal) AS c, floor(c_acctbal) AS f FROM customer",
+    "fn_int_division": "SELECT o_orderkey, o_orderkey DIV 7 AS q, -o_custkey DIV 4 AS z, o_custkey DIV -4 AS y FROM orders",
+    "fn_mod_div": "SELECT o_orderkey, (0 - o_orderkey) % 7 AS m, o_orderkey % (-5) AS k FROM orders",
+    "fn_bitops": "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS b, o_orderkey ^ 255 AS c, ~o_orderkey AS n FROM orders",
+    "fn_coalesce_nullif": "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS a, nullif(c_mktsegment, 'BUILDING') AS b FROM customer",
+    "fn_greatest_least": "SELECT c_custkey, greatest(c_nationkey, 7, NULL) AS g, least(c_nationkey, 7, NULL) AS l FROM customer",
+    "fn_truthiness": "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 AND NOT (o_custkey % 2)",
+    "fn_library_maths": "SELECT p_partkey, round(sqrt(p_retailprice), 6) AS s, round(power(p_size, 2), 2) AS p, round(ln(p_retailprice), 6) AS l, round(sin(p_size), 6) AS t, CAST(sign(p_size - 20) AS INT) AS g FROM part",
+    "json_arrow": "SELECT event_id, props -> '$.k' AS k FROM events",
+    "json_arrow_text": "SELECT event_id, props ->> '$.k' AS k, CAST(props ->> '$.k' AS INT) + 1 AS k1 FROM events",
+    "json_extract_multi": "SELECT event_id, json_extract(props, '$.k', '$.missing', '$.k') AS both FROM events",
+    "json_contains": "SELECT event_id FROM events WHERE json_contains(props, '{\"k\": 7}')",
+    "json_set_replace_remove": "SELECT event_id, json_set(props, '$.n', event_id) AS s, json_replace(props, '$.k', event_type) AS r, json_remove(props, '$.k') AS x FROM events",
+    "json_object_array": "SELECT event_id, json_object('id', event_id, 't', event_type) AS o, json_array(event_id, event_type, NULL) AS a FROM events",
+    "json_unquote": "SELECT event_id, json_unquote(concat('\"', event_type, '\"')) AS u FROM events",
+}
+for _name, _sql in _SAME.items():
+    _text(f"text_{_name}", "mysql", _sql, scalars.ORACLE_SQL[_name])
+_text("text_json_has_key", "postgres", "SELECT event_id, props ? 'k' AS a, props ? 'z' AS b FROM events", scalars.ORACLE_SQL["json_has_key"])
+
 
 # -- catalogs ------------------------------------------------------------------
 

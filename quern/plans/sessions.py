@@ -264,6 +264,17 @@ def copy_text(spark, d):
     return e.query("SELECT id, name FROM t")
 
 
+@_family.add("SELECT n_nationkey AS id, CASE WHEN n_regionkey > 0 THEN concat(n_name, chr(9), n_regionkey) END AS name FROM nation")
+def copy_stdin(spark, d):
+    """What a client sends piece by piece, with a header and an end mark."""
+    few = table(spark, d, "nation").collect()  # 25 rows
+    lines = (f"{r.n_nationkey}\t" + (f"{r.n_name}\\t{r.n_regionkey}" if r.n_regionkey > 0 else "\\N") + "\n" for r in few)
+    e = _engine(spark, d)
+    e.sql("CREATE TABLE t (id INT PRIMARY KEY, name TEXT)")
+    e.sql("COPY t FROM STDIN WITH (HEADER true)", ("".join(x) for x in (["id\tname\n"], lines, ["\\.\n", "beyond the end"])))
+    return e.query("SELECT id, name FROM t")
+
+
 @_family.add("SELECT c_custkey AS id, concat(c_name, ', \"x\"', chr(10), 'y') AS name, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS segment FROM customer")
 def copy_csv(spark, d):
     folder = _folder(spark)

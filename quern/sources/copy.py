@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,10 @@ from quern.dialect import Token, arguments, string_value
 from quern.errors import SqlError
 
 
+#: Bytes of a client's stream that are handed on at a time.
+_PIECE = 1 << 20
+
+
 @dataclass(frozen=True)
 class CopyOptions:
     """format: text (tab, `\\N`) or csv (comma, empty)."""
@@ -73,8 +78,6 @@ class CopyOptions:
                 out["header"] = True
             elif t.word in ("ENCLOSED", "OPTIONALLY", "STARTING"):
                 raise SqlError("0A000", f"LOAD DATA option {t.word} is not supported")
-        if out.get("header"):
-            out |= {"format": "csv", "null": "\\N", "quote": ""}
         return CopyOptions(**out)
 
 
@@ -103,14 +106,30 @@ def _unescaped(field: Column) -> Column:
     return F.array_join(F.transform(F.split(field, _ESCAPED), part), "")
 
 
-def _before_end(lines: DataFrame) -> DataFrame:
-    """The lines of each file before one that is `\\.`, wherever the file was cut."""
+def _rows_of(lines: DataFrame, header: bool) -> DataFrame:
+    """The lines of each file before one that is `\\.`, and behind the header, wherever the file was cut."""
     at = F.struct(F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("line"))
     placed = lines.select("value", F.input_file_name().alias("file"), at.alias("at"))
-    ends = placed.where(F.col("value") == "\\.").groupBy("file").agg(F.min("at").alias("end"))
-    if ends.isEmpty():
+    ended = not lines.where(F.col("value") == "\\.").isEmpty()
+    if not ended and not header:
         return lines
-    return placed.join(ends, "file", "left").where(F.col("end").isNull() | (F.col("at") < F.col("end"))).select("value")
+    marks = placed.groupBy("file").agg(F.min("at").alias("first"), F.min(F.when(F.col("value") == "\\.", F.col("at"))).alias("end"))
+    kept = placed.join(marks, "file").where(F.col("end").isNull() | (F.col("at") < F.col("end")))
+    return (kept.where(F.col("at") != F.col("first")) if header else kept).select("value")
+
+
+def write_stream(spark: SparkSession, folder: str, data: str | Iterable[str]) -> str:
+    """What a client sent, a text or pieces of one, as one file of a folder; it is read by parts. The folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        for piece in [data] if isinstance(data, str) else data:
+            raw = piece.encode()
+            for i in range(0, len(raw), _PIECE):
+                out.write(bytearray(raw[i : i + _PIECE]))
+    finally:
+        out.close()
+    return folder
 
 
 def read_copy(spark: SparkSession, paths: str | list[str], width: int, options: CopyOptions) -> DataFrame:
@@ -127,11 +146,9 @@ def read_copy(spark: SparkSession, paths: str | list[str], width: int, options:
         across = bool(options.quote) and not spark.read.text(paths).where(quotes % 2 == 1).isEmpty()
         reader = reader.option("sep", options.delimiter or ",").option("quote", options.quote).option("escape", options.escape or options.quote).option("nullValue", options.null or "").option("emptyValue", "").option("multiLine", across)
         return reader.csv(paths)
-    if options.header:
-        raise SqlError("0A000", "a header needs the csv format or LOAD DATA")
     once = lambda text: re.sub(r"(?s)\\(.)", _ESCAPED + r"\1", text)
     null = once("\\N" if options.null is None else options.null)
-    lines = _before_end(spark.read.text(paths)).select(F.regexp_replace("value", r"(?s)\\(.)", _ESCAPED + "$1").alias("value"))
+    lines = _rows_of(spark.read.text(paths), options.header).select(F.regexp_replace("value", r"(?s)\\(.)", _ESCAPED + "$1").alias("value"))
     fields = F.split("value", f"(?<!{_ESCAPED})" + re.escape(options.delimiter or "\t"))
     wrong = F.raise_error(F.concat(F.lit("22P04: value out of the domain of a row: "), "value")).cast("array<string>")
     rows = lines.select(F.when(F.size(fields) == width, fields).otherwise(wrong).alias("f"))

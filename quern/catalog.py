@@ -108,10 +108,16 @@ class Table:
 
 
 class Store:
-    """Writes rows as new files of a table."""
+    """Writes rows as new files of a table. Each write has a folder of its own, named unlike any other.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    written: the folders that sessions with the same catalog have written. recent: those of the running statement, whose
+    files may not be a table's yet.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, written: set[str] | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.written = set() if written is None else written
+        self.recent: list[str] = []
 
     def write(self, table: Table, rows: DataFrame) -> tuple[str, ...]:
         """rows must have the table's columns by name, and may have HIT and ORDER."""
@@ -121,7 +127,10 @@ class Store:
         return tuple(sorted(self.spark.read.parquet(path).inputFiles()))
 
     def _fresh(self, name: str) -> str:
-        return f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        self.recent.append(path)
+        self.written.add(path)
+        return path
 
     def numbered(self, rows: DataFrame, missing: SparkColumn, name: str, take) -> DataFrame:
         """rows with a number in column `name` where missing says so; take(n) gives the first of n numbers and their step.
@@ -156,19 +165,32 @@ class Store:
     def bytes(self, files: tuple[str, ...]) -> int:
         return sum(fs.getFileStatus(p).getLen() for fs, p in map(self._place, files))
 
-    def remove_unused(self, used: set[str]) -> int:
-        """Delete the folders of writes of which no file is used any more; how many. used: all files of all live snapshots."""
-        plain = lambda path: "/" + re.sub(r"^[a-z]+:/*", "", path).lstrip("/")
-        held = {plain(f).rsplit("/", 1)[0] for f in used}
+    def remove_unused(self, written: set[str], used: set[str]) -> None:
+        """Delete those of the written folders that hold no used file.
+
+        Folders are known by their last names: the same place may be spelt with or without its file system.
+        """
+        held = {f.rsplit("/", 2)[-2] for f in used}
+        for path in written:
+            if path.rsplit("/", 1)[-1] not in held:
+                fs, place = self._place(path)
+                fs.delete(place, True)
+                self.written.discard(path)
+
+    def published(self) -> set[str]:
+        """The folders still there of which any published catalog, also an older one, names a file."""
         fs, top = self._place(self.folder)
-        gone = 0
+        there = {}
         for table in fs.listStatus(top) if fs.exists(top) else []:
             if table.isDirectory() and not table.getPath().getName().startswith("_"):
-                for write in fs.listStatus(table.getPath()):
-                    if plain(write.getPath().toString()) not in held:
-                        fs.delete(write.getPath(), True)
-                        gone += 1
-        return gone
+                there |= {w.getPath().getName(): w.getPath().toString() for w in fs.listStatus(table.getPath())}
+        if not there:
+            return set()
+        named = self.spark.read.text(f"{self.folder}/_catalog/*.json", wholetext=True)
+        folders = named.select(F.explode(F.from_json("value", "tables map<string, struct<files: array<string>>>")["tables"]).alias("k", "t")).select(F.explode("t.files").alias("file"))
+        folders = folders.select(F.element_at(F.split("file", "/"), -2).alias("name")).distinct()
+        listed = self.spark.createDataFrame([(n,) for n in there], "name string")
+        return {there[r[0]] for r in folders.join(listed, "name").collect()}
 
     # -- the catalog beside the files --------------------------------------
 

@@ -12,8 +12,9 @@ Method
      bucket. First each class meets one class only: the smallest of its
      largest bucket. Only buckets that the resulting components don't yet join are looked at
      again: in each of two turns, members outside the bucket's largest
-     component meet one member of it; at last those still apart are compared with the members
-     of other components.
+     component meet one member of it. At last the buckets still open are taken together by their largest component: of all
+     members only those meet whose differences from one member, the pivot, share a token that
+     links must share (`_differences`).
   4. Pairs are first held against an exact bound: sizes, and the parities of
      how many shingles fall into each of at least 2n cells, whose number of
      differences can't exceed the symmetric difference. Every pair that is
@@ -35,6 +36,7 @@ doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -204,6 +206,47 @@ def _possible(x: str, y: str, percent: int) -> Column:
     return sizes & F.when(F.abs(level[0] - level[1]) > 1, True).otherwise(near)
 
 
+def _ranked(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, n, ones, sh: the shingles of classes, rarest among them first, and how many of them are in no other class."""
+    tokens = sets.join(classes.distinct(), "class", "left_semi").select("class", F.explode("sh").alias("t"))
+    common = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    sorted_ = tokens.join(common, "t").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    return sorted_.select("class", F.size("s").alias("n"), F.size(F.filter("s", lambda x: x["df"] == 1)).alias("ones"), F.col("s.t").alias("sh"))
+
+
+def _differences(groups: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """groups (main, class, comp, pivot) with n, the size d of the class's difference D from the pivot, whether it is near (a link of the pivot), and `tokens`.
+
+    A pair is a link if and only if |Dx ^ Dy| <= L = c (nx + ny), where c = (100 - percent) / (100 + percent). Its differences then share at
+    least o = (dx + dy - L) / 2 tokens, so in any one order the first shared token has at least o tokens from there on in both.
+    Two near classes need no pair, for both are linked to the pivot. If one of two isn't near, then o > 0: its d is over c (nx + np),
+    and ny <= np + dy. So a near class needs no tokens behind the place with d * percent / (100 + percent) left, and
+    any class at most n (100 - percent) / percent + 1. The order: what the pivot lacks, rarest first, then what it alone has, commonest first.
+    tokens leaves out those that no other class has, which come first.
+    """
+    of_pivot = groups.select("main", F.col("pivot").alias("class")).distinct().join(ranked, "class").select("main", F.col("n").alias("pn"), F.col("sh").alias("psh"))
+    d = groups.join(ranked, "class").join(of_pivot, "main")
+    d = d.withColumn("all", F.concat(F.array_except("sh", "psh"), F.array_except(F.reverse("psh"), "sh"))).withColumn("d", F.size("all").cast("long"))
+    d = d.withColumn("near", F.col("d") * (100 + percent) <= (F.col("n") + F.col("pn")) * (100 - percent))
+    most = F.when(F.col("near"), F.expr(f"d - d * {percent} div {100 + percent}")).otherwise(F.least(F.col("d"), F.expr(f"n * {100 - percent}L div {percent} + 1")))
+    kept = F.slice("all", F.col("ones") + 1, F.greatest(most - F.col("ones"), F.lit(0)).cast("int"))
+    return d.select("main", "class", "comp", "pivot", F.col("n").cast("long").alias("n"), "d", "near", "ones", kept.alias("tokens"))
+
+
+def _sharing(differences: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of one main and different components whose differences share a token that a link must share."""
+    rows = differences.select("main", "class", "comp", "n", "d", "near", "ones", F.posexplode("tokens").alias("at", "t"))
+    rows = rows.withColumn("left", F.col("d") - F.col("ones") - F.col("at"))
+    side = lambda p: rows.select("main", "t", *(F.col(c).alias(p + c) for c in ("class", "comp", "n", "d", "near", "left")))
+    c = F.col
+    slack = (c("xn") + c("yn")) * (100 - percent)
+    shared = 2 * (100 + percent) * F.least("xleft", "yleft") >= (c("xd") + c("yd")) * (100 + percent) - slack
+    once = c("ynear") | (c("xclass") < c("yclass"))
+    close = F.abs(c("xd") - c("yd")) * (100 + percent) <= slack
+    met = side("x").where(~c("xnear")).join(side("y"), ["main", "t"]).where((c("xcomp") != c("ycomp")) & once & close & shared)
+    return met.select(c("xclass").alias("x"), c("yclass").alias("y"))
+
+
 def _bitmap(wanted: DataFrame) -> bytes:
     """One bit for each place that wanted has. At most 2^(BITMAP_BITS - 6) rows come to the driver."""
     cells = wanted.groupBy(F.shiftright("place", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()
@@ -248,12 +291,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
         links = joined.where(both * 100 >= percent * (F.size("ash") + F.size("bsh") - both))
         return settle(links.select("a", "b"), "links")
 
+    def fresh(pairs: DataFrame) -> DataFrame:
+        """The distinct (a, b) of pairs (x, y) not tested before."""
+        pairs = settle(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "met")  # else each repetition is looked up
+        return pairs.join(functools.reduce(DataFrame.union, tested), ["a", "b"], "left_anti") if tested else pairs
+
     def possible(pairs: DataFrame) -> DataFrame:
         """The distinct (a, b) of pairs (x, y) not tested before that may be links."""
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = pairs.join(named("b", *sketch), "b").join(named("a", *sketch), "a")
+        pairs = fresh(pairs).join(named("b", *sketch), "b").join(named("a", *sketch), "a")
         out = settle(pairs.where(_possible("a", "b", percent)).select("a", "b"), "pairs")
         tested.append(out)
         return out
@@ -294,13 +339,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE
 
     before, placed = placed, still_open(placed, comps)
     drop(before)
-    sketched = lambda df, p: df.join(named(p, *sketch), df["class"] == F.col(p)).drop("class", "main").withColumnRenamed("comp", f"{p}comp")
-    apart = sketched(placed.where("comp <> main"), "x")
-    met = apart.join(sketched(placed, "y"), "bucket").where((F.col("xcomp") != F.col("ycomp")) & _possible("x", "y", percent))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    for t in tested:
-        pairs = pairs.join(t, ["a", "b"], "left_anti")
-    comps = merged(comps, linked(settle(pairs, "pairs")))
+    groups = settle(placed.select("main", "class", "comp").distinct(), "groups")
+    drop(placed)
+    ranked = settle(_ranked(sets, groups.select("class")), "ranked")
+    # the most typical member: what a pivot has for itself makes all others differ from it
+    typical = F.min_by("class", F.struct("ones", "class")).alias("pivot")
+    pivots = groups.where("comp = main").join(ranked.select("class", "ones"), "class").groupBy("main").agg(typical)
+    differences = settle(_differences(groups.join(settle(pivots, "pivots"), "main"), ranked, percent), "differences")
+    nearby = differences.where("near AND comp <> main").select(F.col("class").alias("x"), F.col("pivot").alias("y"))
+    comps = merged(comps, linked(possible(nearby.union(_sharing(differences, percent)))))
 
     leads = known.groupBy("class").agg(F.min("doc_id").alias("lead"))
     grouped = leads.join(comps, "class").select("class", "lead", "comp")

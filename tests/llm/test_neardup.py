@@ -122,3 +122,57 @@ def test_signatures_estimate_similarity():
         assert abs((x == y).mean() - true) < 0.15
         assert (neardup.superminhash(a[::-1].copy(), m) == x).all()
     assert (neardup.band_keys(x, 48, 5) == neardup.band_keys(x.copy(), 48, 5)).all()
+
+
+def group_around_one_text(r, n, words=150):
+    """n texts, each one text with up to seven words changed: some are links of it, the others are not, and few of those are links of each other."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(words)]
+    out = [base]
+    while len(out) < n:
+        copy = list(base)
+        for _ in range(r.randint(1, 7)):
+            copy[r.randrange(words)] = word()
+        out.append(copy)
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def test_pairs_of_a_large_group_grow_with_its_size_only(make, monkeypatch):
+    rows = group_around_one_text(random.Random(3), 600)
+    settle, decided = Scratch.settle, []
+
+    def counted(self, df, name):
+        out = settle(self, df, name)
+        if name == "pairs":
+            decided.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "settle", counted)
+    got = neardup.near_duplicates(make(*rows)).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == sorted(brute(rows))
+    assert decided[-1] < len(rows) // 4, decided  # comparing all members of open buckets decided more than one pair a row
+
+
+def test_links_of_far_members_meet(spark):
+    r = random.Random(4)
+    sets, of_class = [], {}
+    for group in range(4):  # two clusters around different texts, which share a passage, and noise
+        base = [r.getrandbits(62) for _ in range(r.choice((8, 40, 90)))]
+        other = base[: len(base) * 2 // 3] + [r.getrandbits(62) for _ in range(len(base) // 3)]
+        for _ in range(40):
+            s = set(r.sample(b := r.choice((base, other)), len(b) - r.randint(0, len(b) // 5))) | {r.getrandbits(62) for _ in range(r.randint(0, len(b) // 5))}
+            name = len(sets).to_bytes(2, "big")
+            of_class[name] = group, s
+            sets.append((name, sorted(s)))
+    table = spark.createDataFrame(sets, "class binary, sh array<long>")
+    least = {g: min(n for n, (other, _) in of_class.items() if other == g) for g, _ in of_class.values()}
+    groups = spark.createDataFrame([(least[g], name, name, least[g]) for name, (g, _) in of_class.items()], "main binary, class binary, comp binary, pivot binary")  # each its own component
+    differences = neardup._differences(groups, neardup._ranked(table, groups.select("class")), 75).cache()
+    near = {bytes(x["class"]) for x in differences.where("near").collect()}
+    met = {frozenset((bytes(x["x"]), bytes(x["y"]))) for x in neardup._sharing(differences, 75).collect()}
+    link = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    pivot = {bytes(x["class"]): bytes(x["pivot"]) for x in groups.collect()}
+    assert near == {c for c in of_class if link(of_class[c][1], of_class[pivot[c]][1])}
+    links = [(a, b) for a in of_class for b in of_class if a < b and of_class[a][0] == of_class[b][0] and link(of_class[a][1], of_class[b][1])]
+    far = [(a, b) for a, b in links if not (a in near and b in near)]
+    assert far and all(frozenset(x) in met for x in far)

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 
 
@@ -56,3 +58,22 @@ def test_empty_tables(spark, make, tmp_path):
     make((1, "a")).where("false").select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_of_a_large_group_decides_few_pairs(spark, make, monkeypatch):
+    from quern.llm.store import Scratch
+    from test_neardup import brute, group_around_one_text
+
+    rows = group_around_one_text(random.Random(6), 600)
+    settle, decided = Scratch.settle, []
+
+    def counted(self, df, name):
+        out = settle(self, df, name)
+        if name == "pairs":
+            decided.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "settle", counted)
+    left = corpus_pipeline.near_dedup(spark, make(*rows), "")
+    assert {r["doc_id"] for r in left.collect()} == {doc for doc, _, comp in brute(rows) if doc == comp}
+    assert decided[-1] < len(rows) // 4, decided

@@ -65,8 +65,8 @@ def unix_timestamp_days(x: Column) -> Column:
 
 
 def from_unixtime_utc(seconds: Column) -> Column:
-    """UTC text of a number of seconds; negative numbers count as 0."""
-    return F.date_format(F.timestamp_seconds(F.greatest(seconds, F.lit(0))), "yyyy-MM-dd HH:mm:ss")
+    """UTC text of a number of seconds; negative numbers count as 0. Years after 9999 have no sign, which `yyyy` would give them."""
+    return F.date_format(F.timestamp_seconds(F.greatest(seconds, F.lit(0))), "y-MM-dd HH:mm:ss")
 
 
 def week_of_year(x: Column) -> Column:

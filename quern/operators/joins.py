@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The most cells that `cover_counts` cuts time into; their totals are put in order in one task and broadcast.
+MOST_CELLS = 100_000
+
 
 def interval_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width_seconds: int) -> DataFrame:
     """Pairs of a point and a span with low <= at < high.
@@ -28,6 +31,59 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, low: str, high:
     return spread.join(placed, ["quern_level", "quern_cell"]).where(inside).drop("quern_level", "quern_cell")
 
 
+def _micros(rows: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a date or a timestamp; those without a time zone are taken as they stand."""
+    if rows.schema[name].dataType.typeName() == "timestamp":
+        return F.unix_micros(name)
+    since = F.col(name).cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
+
+
+def cover_counts(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width_seconds: int) -> DataFrame:
+    """Rows of points, and as n the number of spans with low <= at < high; only where there are any.
+
+    No pairs are made, so work grows with the rows of both sides however many spans cover a point: every span adds
+    1 at low and -1 at high, and a point takes the running sum. Time is cut into cells of `width_seconds`, wider ones
+    if the spans would have more than `MOST_CELLS`; a task sums a cell at a time, from what is open at its start.
+    """
+    real = spans.select(_micros(spans, low).alias("low"), _micros(spans, high).alias("high")).where("low < high")
+    first, last = real.agg(F.min("low"), F.max("high")).first()
+    if first is None:
+        return points.where(F.lit(False)).withColumn("n", F.lit(0).cast("long"))
+    width = max(width_seconds * 1_000_000, (last - first) // MOST_CELLS + 1)
+    cell = F.floor((F.col("t") - first) / width).alias("cell")
+    marks = real.select(F.inline(F.array(*(F.struct(F.col(c).alias("t"), F.lit(d).cast("long").alias("d")) for c, d in (("low", 1), ("high", -1)))))).select(cell, "t", "d")
+    placed = points.select(_micros(points, at).alias("t"), F.struct(*points.columns).alias("point")).where((F.col("t") >= first) & (F.col("t") < last))
+    both = marks.withColumn("point", F.lit(None)).unionByName(placed.select(cell, "t", F.lit(0).cast("long").alias("d"), "point"))
+    summed = both.withColumn("inside", F.sum("d").over(Window.partitionBy("cell").orderBy("t", F.col("point").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)))
+    cells = points.sparkSession.range((last - first) // width + 1).select(F.col("id").alias("cell")).join(marks.groupBy("cell").agg(F.sum("d").alias("d")), "cell", "left")
+    opened = cells.select("cell", F.coalesce(F.sum("d").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    counted = summed.where("point IS NOT NULL").join(F.broadcast(opened), "cell").select("point.*", (F.col("before") + F.col("inside")).alias("n"))
+    return counted.where("n > 0")
+
+
+def window_totals(points: DataFrame, windows: DataFrame, key: str, at: str, low: str, value: str, seconds: int) -> DataFrame:
+    """key, and as n and total the count of points and the sum of their values with low <= at < low + seconds, over all windows of a key; only where there are points.
+
+    No pairs are made, so work grows with the rows of both sides however many points a window holds. Time is cut into cells
+    as long as a window, so a window is the end of one cell and the start of the next: two running sums, one of them
+    backwards. Nothing is subtracted, so NULLs, NaN and infinity in values count as in a plain sum. A task sums a cell at a time.
+    """
+    width = seconds * 1_000_000
+    cell = F.floor(F.col("t") / width).alias("cell")
+    ends = [F.struct((F.col("t") + after).alias("t"), F.lit(after > 0).alias("ends")) for after in (0, width)]
+    marks = windows.select(key, _micros(windows, low).alias("t")).where("t IS NOT NULL").select(key, F.inline(F.array(*ends)))
+    marks = marks.select(cell, "t", F.lit(0).alias("one"), F.lit(None).cast("double").alias("v"), F.col(key).alias("key"), "ends")
+    placed = points.select(_micros(points, at).alias("t"), F.col(value).alias("v")).where("t IS NOT NULL")
+    both = placed.select(cell, "t", F.lit(1).alias("one"), "v").unionByName(marks, allowMissingColumns=True)
+    # a mark comes before the points of its time, backwards after them
+    forward = Window.partitionBy("cell").orderBy("t", "one").rowsBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy("cell").orderBy(F.desc("t"), F.desc("one")).rowsBetween(Window.unboundedPreceding, 0)
+    over = lambda w: F.struct(F.sum("one").over(w).alias("n"), F.sum("v").over(w).alias("total"))
+    parts = both.select("key", "ends", "one", over(forward).alias("f"), over(backward).alias("b")).where("one = 0").select("key", F.expr("if(ends, f, b)").alias("part"))
+    return parts.groupBy(F.col("key").alias(key)).agg(F.sum("part.n").alias("n"), F.sum("part.total").alias("total")).where("n > 0")
+
+
 def anti_not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of left whose key is NOT IN right's, with SQL's three values.
 

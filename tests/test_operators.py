@@ -1,9 +1,46 @@
 from pyspark.sql import functions as F
 
-from quern.operators.joins import anti_not_in, interval_join, salted_join
+from quern.operators.joins import anti_not_in, cover_counts, interval_join, salted_join
+from quern.plans import joins
 from quern.streaming import ingest
 
 
+def most_rows(df):
+    """Rows of the result, and the most rows that any step of its plan puts out."""
+    rows, found, todo = df.collect(), [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        step = todo.pop()
+        if step.metrics().contains("numOutputRows"):
+            found.append(step.metrics().apply("numOutputRows").value())
+        kind = step.getClass().getSimpleName()
+        under = [step.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [step.plan()] if kind.endswith("QueryStageExec") else [step.children().apply(i) for i in range(step.children().size())]
+        todo += under
+    return rows, max(found)
+
+
+def dense_events(spark, folder, n=1500):
+    """Events within 150 seconds, so that nearly all of them lie in every range."""
+    spark.range(n).selectExpr("id AS event_id", "CAST(timestamp_micros(id * 100000) AS TIMESTAMP_NTZ) AS ts", "id % 7 + 0.25D AS value").write.parquet(f"{folder}/events.parquet")
+
+
+def test_cover_counts_equals_counted_pairs(spark):
+    ts = "CAST(timestamp_micros({}) AS TIMESTAMP_NTZ)"
+    points = spark.range(-50, 400).selectExpr("id AS p", f"if(id % 9 = 0, NULL, {ts.format('id * 37000000')}) AS at").unionAll(spark.sql("SELECT 7L, TIMESTAMP_NTZ'9990-01-01'"))
+    spans = spark.range(60).selectExpr(f"if(id = 9, NULL, {ts.format('id * 185000000')}) AS low", f"{ts.format('id * 185000000 + (id % 7 - 1) * 333000000')} AS high")
+    want = spark.sql("SELECT p, at, count(*) AS n FROM {p} JOIN {s} ON at >= low AND at < high GROUP BY p, at", p=points, s=spans)
+    far = spans.unionAll(spark.sql("SELECT TIMESTAMP_NTZ'0001-01-01', TIMESTAMP_NTZ'0001-01-02'"))
+    for given, width in ((spans, 600), (spans, 1), (spans, 10**6), (far, 600)):
+        assert sorted(map(str, cover_counts(points, given, "at", "low", "high", width).collect())) == sorted(map(str, want.collect()))
+    assert cover_counts(points, spans.where("low >= high"), "at", "low", "high", 600).count() == 0
+
+
+def test_ranges_of_mixed_lengths_are_counted_without_pairs(spark, tmp_path):
+    dense_events(spark, tmp_path)
+    rows, most = most_rows(joins.join_range_mixed_lengths(spark, str(tmp_path)))
+    longer = sum(i % 500 > 0 for i in range(1500))
+    assert len(rows) == 1499 and max(r["n"] for r in rows) > longer // 2 and most < 10_000
+
+
 def test_interval_join_meets_each_pair_once(spark):
     ts = "cast(timestamp_seconds({}) as timestamp_ntz)"
     points = spark.range(0, 500).select(F.expr(ts.format("id * 37")).alias("at"), F.col("id").alias("p"))

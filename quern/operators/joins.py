@@ -51,7 +51,7 @@ def cover_counts(points: DataFrame, spans: DataFrame, at: str, low: str, high: s
     if first is None:
         return points.where(F.lit(False)).withColumn("n", F.lit(0).cast("long"))
     width = max(width_seconds * 1_000_000, (last - first) // MOST_CELLS + 1)
-    cell = F.floor((F.col("t") - first) / width).alias("cell")
+    cell = F.expr(f"(t - ({first}L)) div {width}L AS cell")  # whole numbers: a double can't hold all microseconds
     marks = real.select(F.inline(F.array(*(F.struct(F.col(c).alias("t"), F.lit(d).cast("long").alias("d")) for c, d in (("low", 1), ("high", -1)))))).select(cell, "t", "d")
     placed = points.select(_micros(points, at).alias("t"), F.struct(*points.columns).alias("point")).where((F.col("t") >= first) & (F.col("t") < last))
     both = marks.withColumn("point", F.lit(None)).unionByName(placed.select(cell, "t", F.lit(0).cast("long").alias("d"), "point"))
@@ -70,7 +70,7 @@ def window_totals(points: DataFrame, windows: DataFrame, key: str, at: str, low:
     backwards. Nothing is subtracted, so NULLs, NaN and infinity in values count as in a plain sum. A task sums a cell at a time.
     """
     width = seconds * 1_000_000
-    cell = F.floor(F.col("t") / width).alias("cell")
+    cell = F.expr(f"(t - pmod(t, {width}L)) div {width}L AS cell")  # whole numbers: a double can't hold all microseconds
     ends = [F.struct((F.col("t") + after).alias("t"), F.lit(after > 0).alias("ends")) for after in (0, width)]
     marks = windows.select(key, _micros(windows, low).alias("t")).where("t IS NOT NULL").select(key, F.inline(F.array(*ends)))
     marks = marks.select(cell, "t", F.lit(0).alias("one"), F.lit(None).cast("double").alias("v"), F.col(key).alias("key"), "ends")

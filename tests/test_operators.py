@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quern.operators.joins import anti_not_in, cover_counts, interval_join, salted_join
+from quern.operators.joins import anti_not_in, cover_counts, interval_join, salted_join, window_totals
 from quern.plans import joins
 from quern.streaming import ingest
 
@@ -50,6 +50,23 @@ def test_interval_join_meets_each_pair_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_window_totals_equal_sums_of_pairs(spark):
+    at = "timestampadd(MICROSECOND, {}, {})"
+    for base in ("TIMESTAMP_NTZ'1970-01-01 00:00:50'", "TIMESTAMP_NTZ'9990-01-01'", "TIMESTAMP'2024-01-01'"):
+        points = spark.range(-300, 300).selectExpr(
+            f"if(id = 8, NULL, {at.format('id * 9999999', base)}) AS at", "CASE WHEN id = -70 THEN DOUBLE('NaN') WHEN id = 60 THEN DOUBLE('inf') WHEN id > 160 THEN NULL ELSE id + 0.25D END AS v"
+        ).unionAll(spark.range(90).selectExpr(at.format("id div 3 * 100000000 - 1 + id % 3", base), "1D"))
+        windows = spark.range(120).selectExpr("if(id = 5, NULL, id div 2) AS k", f"if(id = 9, NULL, {at.format('(id - 60) * 50000000', base)}) AS lo")
+        want = spark.sql("SELECT k, count(*) AS n, sum(v) AS total FROM {p} JOIN {w} ON at >= lo AND at < lo + INTERVAL 100 SECONDS GROUP BY k", p=points, w=windows)
+        assert sorted(map(str, window_totals(points, windows, "k", "at", "lo", "v", 100).collect())) == sorted(map(str, want.collect()))
+
+
+def test_ranges_of_one_length_are_summed_without_pairs(spark, tmp_path):
+    dense_events(spark, tmp_path, 3000)
+    rows, most = most_rows(joins.join_range(spark, str(tmp_path)))
+    assert {r["k"]: r["n"] for r in rows} == {k: 3000 - k for k in range(0, 3000, 20)} and most < 10_000
+
+
 def test_salted_join_equals_the_plain_one(spark):
     big = spark.range(0, 300).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     small = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c"), (9, "d")], "k long, w string")

@@ -84,6 +84,21 @@ def window_totals(points: DataFrame, windows: DataFrame, key: str, at: str, low:
     return parts.groupBy(F.col("key").alias(key)).agg(F.sum("part.n").alias("n"), F.sum("part.total").alias("total")).where("n > 0")
 
 
+def theta_join(left: DataFrame, right: DataFrame, condition: Column, rows: int = 6000) -> DataFrame:
+    """Pairs of a row of left and one of right that meet a condition without equality.
+
+    Every pair must be tested, so the work is the product of both sides. Each side is dealt by hash into parts of about `rows` rows;
+    a part of left meets a part of right in one task's cell, so tasks grow in number, not in length, and none
+    holds more than the parts of its cells. Equal rows share a part.
+    """
+    parts = [max(1, -(-side.count() // rows)) for side in (left, right)]
+    dealt = []
+    for side, own, other in ((left, 0, 1), (right, 1, 0)):
+        numbered = side.withColumn(f"quern_{own}", F.pmod(F.xxhash64(*side.columns), F.lit(parts[own])).cast("int"))
+        dealt.append(numbered.withColumn(f"quern_{other}", F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1)))).repartition(parts[0] * parts[1], "quern_0", "quern_1"))
+    return dealt[0].join(dealt[1], ["quern_0", "quern_1"]).where(condition).drop("quern_0", "quern_1")
+
+
 def anti_not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of left whose key is NOT IN right's, with SQL's three values.
 

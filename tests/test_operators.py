@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quern.operators.joins import anti_not_in, cover_counts, interval_join, salted_join, window_totals
+from quern.operators.joins import anti_not_in, cover_counts, interval_join, salted_join, theta_join, window_totals
 from quern.plans import joins
 from quern.streaming import ingest
 
@@ -67,6 +67,23 @@ def test_ranges_of_one_length_are_summed_without_pairs(spark, tmp_path):
     assert {r["k"]: r["n"] for r in rows} == {k: 3000 - k for k in range(0, 3000, 20)} and most < 10_000
 
 
+def test_theta_join_equals_the_plain_one(spark):
+    left = spark.range(90).selectExpr("id AS a", "if(id % 10 = 0, NULL, id % 40) AS x").unionAll(spark.sql("SELECT 5L, 5L"))
+    right = spark.range(70).selectExpr("id AS b", "if(id % 9 = 0, NULL, id % 30) AS y")
+    for r, meets in ((right, F.col("y") < F.col("x") / 2), (right.limit(0), F.col("y") < F.col("x"))):
+        want = sorted(map(str, left.crossJoin(r).where(meets).collect()))
+        for rows in (7, 1000):
+            assert sorted(map(str, theta_join(left, r, meets, rows).collect())) == want
+
+
+def test_theta_query_deals_pairs_over_tasks(spark, tmp_path):
+    spark.range(13000).selectExpr("id AS s_suppkey", "CAST(id % 100 AS DOUBLE) AS s_acctbal").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(13000).selectExpr("id AS p_partkey", "1 AS p_size", "CAST(id % 1000 AS DOUBLE) AS p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    sizes = [r["count"] for r in joins.join_theta(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    want = sum((s % 100 / 8 > p) * 13 for s in range(13000) for p in range(13))
+    assert sum(sizes) == want and max(sizes) < 0.7 * want
+
+
 def test_salted_join_equals_the_plain_one(spark):
     big = spark.range(0, 300).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     small = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c"), (9, "d")], "k long, w string")
